@@ -2,4 +2,6 @@
 
 MODULES = [
     "catalumen.llm.survivors",
+    "catalumen.llm.history",
+    "catalumen.llm.seen",
 ]
