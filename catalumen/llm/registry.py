@@ -1,6 +1,7 @@
 """The subpackage's query modules."""
 
 MODULES = [
+    "catalumen.llm.pictures",
     "catalumen.llm.survivors",
     "catalumen.llm.history",
     "catalumen.llm.seen",
