@@ -15,15 +15,17 @@ from catalumen.runtime import blank, bounded_broadcast, cut, table
 EARLIEST = 631_152_000
 
 _ZONE = r"(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)"
-_TIME = r"(\d{1,2}):([0-5]\d)(?::([0-5]\d)(?:[.,]\d+)?)?(?: ?([AaPp])[Mm])?(?: ?" + _ZONE + ")?"
-#: Syntactic family, pattern, and the groups that hold year, month, day, hour, minute, second, half day, zone.
+_TIME = r"(\d{1,2}):([0-5]\d)(?::([0-5]\d)(?:[.,]\d+)?)?(?: ?([AaPp])[Mm](?![A-Za-z]))?(?: ?" + _ZONE + ")?"
+_OFFSET = r"^[+-]\d{2}(:?\d{2})?$"
+_UTC = ("Z", "UTC", "GMT")
+#: Syntactic family, pattern, and the groups that hold year, month, day, hour, minute, second, half day, zone, leading zone.
 FAMILIES = [
-    ("dash", r"^(UTC )?(\d{4})-(\d{2})-(\d{2})[T ]" + _TIME + "$", "$2|$3|$4|$5|$6|$7|$8|$9$1"),
-    ("colon", r"^(UTC )?(\d{4}):(\d{2}):(\d{2})[T ]" + _TIME + "$", "$2|$3|$4|$5|$6|$7|$8|$9$1"),
-    ("compact", r"^(UTC )?(\d{4})(\d{2})(\d{2})[T_ ]?(\d{2})([0-5]\d)([0-5]\d)?(?:[.,]\d+)?(?: ?" + _ZONE + ")?$", "$2|$3|$4|$5|$6|$7||$8$1"),
-    ("dot", r"^(UTC )?(\d{1,2})\.(\d{1,2})\.(\d{4})[T, ]+" + _TIME + "$", "$4|$3|$2|$5|$6|$7|$8|$9$1"),
-    ("slash", r"^(UTC )?(\d{1,2})/(\d{1,2})/(\d{4})[T, ]+" + _TIME + "$", "$4|$2|$3|$5|$6|$7|$8|$9$1"),
-    ("mail", r"^(?:[A-Z][a-z]{2}, )?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) " + _TIME + "$", "$3|$2|$1|$4|$5|$6|$7|$8"),
+    ("dash", r"^(UTC )?(\d{4})-(\d{2})-(\d{2})[T ]" + _TIME + "$", "$2|$3|$4|$5|$6|$7|$8|$9|$1"),
+    ("colon", r"^(UTC )?(\d{4}):(\d{2}):(\d{2})[T ]" + _TIME + "$", "$2|$3|$4|$5|$6|$7|$8|$9|$1"),
+    ("compact", r"^(UTC )?(\d{4})(\d{2})(\d{2})[T_ ]?(\d{2})([0-5]\d)([0-5]\d)?(?:[.,]\d+)?(?: ?" + _ZONE + ")?$", "$2|$3|$4|$5|$6|$7||$8|$1"),
+    ("dot", r"^(UTC )?(\d{1,2})\.(\d{1,2})\.(\d{4})[T, ]+" + _TIME + "$", "$4|$3|$2|$5|$6|$7|$8|$9|$1"),
+    ("slash", r"^(UTC )?(\d{1,2})/(\d{1,2})/(\d{4})[T, ]+" + _TIME + "$", "$4|$2|$3|$5|$6|$7|$8|$9|$1"),
+    ("mail", r"^(?:[A-Z][a-z]{2}, )?(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) " + _TIME + "$", "$3|$2|$1|$4|$5|$6|$7|$8|"),
 ]
 #: Reading formats: those of a family as declared, and the other order of day and month where both are in use.
 FORMATS = ["dash", "colon", "compact", "dot", "slash", "mail", "epoch_s", "epoch_ms", "dot_month_first", "slash_day_first"]
@@ -71,12 +73,11 @@ def with_root(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
 def _utc_seconds(local: Column, zone: Column) -> Column:
     """Epoch seconds of local seconds in a region or offset zone: an hour that occurs twice means the earlier
     instant, a skipped one moves forward by the gap, as the JVM's zone rules resolve them."""
-    offset = zone.rlike(r"^[+-]\d{2}(:?\d{2})?$")
-    digits = F.regexp_replace(zone, ":", "")
-    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.coalesce(F.expr("try_cast(nullif(substring(_zone_digits, 4, 2), '') as int)"), F.lit(0))
-    shift = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes) * 60
+    digits = F.rpad(F.regexp_replace(zone, ":", ""), 5, "0")
+    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+    shift = F.when(digits.startswith("-"), -minutes).otherwise(minutes) * 60
     region = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), zone))
-    return F.when(offset, local - shift).when(zone.isin("Z", "UTC", "GMT"), local).when(zone.isNotNull(), region), digits
+    return F.when(zone.rlike(_OFFSET), local - shift).when(zone.isin(*_UTC), local).when(zone.isNotNull(), region)
 
 
 def candidates(df: DataFrame, text: str, zones: list[str]) -> DataFrame:
@@ -94,12 +95,10 @@ def candidates(df: DataFrame, text: str, zones: list[str]) -> DataFrame:
     named = F.array_position(F.array(*map(F.lit, MONTHS)), p(2)).cast("int")
     hour, half = number(4), F.lower(p(7))
     hour24 = F.when(half == "", F.when(hour <= 23, hour)).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    said = F.upper(F.trim(p(8)))
-    said = F.when(said == "", None).when(said.isin("Z", "UTC", "GMT", "UTCUTC", "ZUTC"), "UTC").when(said.rlike(r"^[+-]"), said).otherwise(F.trim(p(8)))
-    zone = F.coalesce(said, F.col("root_zone"))
-    known = zone.isin("Z", "UTC", "GMT") | zone.rlike(r"^[+-]\d{2}(:?\d{2})?$") | zone.isin(*zones)
+    told = F.coalesce(F.nullif(p(8), F.lit("")), F.nullif(F.trim(p(9)), F.lit("")))
+    zone = F.coalesce(told, F.col("root_zone"))
+    known = zone.isin(*_UTC) | zone.rlike(_OFFSET) | zone.isin(*zones)
     out = out.withColumns({"_family": p(0), "_y": number(1), "_m": F.when(p(0) == "mail", named).otherwise(number(2)), "_d": number(3), "_t": hour24 * 3600 + number(5) * 60 + F.coalesce(number(6), F.lit(0)), "_zone": F.when(known, zone)})
-    out = out.withColumn("_zone_digits", F.regexp_replace("_zone", ":", ""))
 
     def seconds(month: str, day: str) -> Column:
         date = F.concat_ws("-", F.lpad(F.col("_y").cast("string"), 4, "0"), F.lpad(F.col(month).cast("string"), 2, "0"), F.lpad(F.col(day).cast("string"), 2, "0")).try_cast("date")
@@ -108,15 +107,13 @@ def candidates(df: DataFrame, text: str, zones: list[str]) -> DataFrame:
 
     out = out.withColumns({"_l": seconds("_m", "_d"), "_x": F.when(F.col("_family").isin("dot", "slash"), seconds("_d", "_m"))})
     epoch = p(1).try_cast("long")
-    said_s, _ = _utc_seconds(F.col("_l"), F.col("_zone"))
-    swapped, _ = _utc_seconds(F.col("_x"), F.col("_zone"))
-    out = out.withColumns({"_s": said_s, "_w": swapped})
+    out = out.withColumns({"_s": _utc_seconds(F.col("_l"), F.col("_zone")), "_w": _utc_seconds(F.col("_x"), F.col("_zone"))})
     late = lambda c: F.when(c >= EARLIEST, c)
     family = F.col("_family")
     each = [late(F.when(family == f, F.col("_s"))) for f in FORMATS[:6]]
     each += [late(F.when(family == "epoch_s", epoch)), late(F.when(family == "epoch_ms", F.floor(epoch / 1000)))]
     each += [late(F.when(family == "dot", F.col("_w"))), late(F.when(family == "slash", F.col("_w")))]
-    return out.withColumns({"readings": F.array(*each), "zone_from": F.when(family.startswith("epoch"), "epoch").when(said.isNotNull(), "text").when(F.col("root_zone").isNotNull(), "root")}).drop(*(f"_{c}" for c in ("p", "family", "y", "m", "d", "t", "zone", "zone_digits", "l", "x", "s", "w")))
+    return out.withColumns({"readings": F.array(*each), "zone_from": F.when(family.startswith("epoch"), "epoch").when(told.isNotNull(), "text").when(F.col("root_zone").isNotNull(), "root")}).drop(*(f"_{c}" for c in ("p", "family", "y", "m", "d", "t", "zone", "l", "x", "s", "w")))
 
 
 def fit_mixtures(counts: DataFrame, prior: list[float] = PRIOR, rounds: int = 100) -> DataFrame:
