@@ -32,7 +32,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def chunk(texts: list[bytes], least: int = 16, bits: int = 3, most: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, length, hash) of each chunk of each text, in order.
 
-    A boundary follows a byte where `bits` bits of the rolling hash of the WINDOW bytes up to it are 0, unless
+    A boundary follows a byte where `bits` bits of the rolling hash of the WINDOW bytes up to it in the text are 0, unless
     another such place is fewer than `least` bytes before it or an end of the text is that near. Stretches of more
     than `most` bytes are cut every `most` bytes, with no rest under `least`. All of it depends on near content only,
     so an insertion changes the chunks around it and no others. Empty texts have no chunks.
@@ -49,7 +49,7 @@ def chunk(texts: list[bytes], least: int = 16, bits: int = 3, most: int = 32) ->
     rolling = words.copy()
     with np.errstate(over="ignore"):
         for j in range(1, WINDOW):
-            rolling[j:] += words[:-j] << _U(j)
+            rolling[j:] += np.where(offset[j:] >= j, words[:-j] << _U(j), _U(0))
         raw = np.flatnonzero((((rolling >> _U(WINDOW)) & _U((1 << bits) - 1)) == 0) & (offset + 1 >= least) & (sizes[row] - offset - 1 >= least))
     if len(raw):
         near = (np.diff(raw, prepend=-least) < least) & (np.diff(row[raw], prepend=-1) == 0)

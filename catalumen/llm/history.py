@@ -6,34 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalumen.functions.fingerprints import counts, full_hash, sparse_hash
 from catalumen.llm.chunks import chunk
 from catalumen.runtime import cut, shared_table, skew_join, table
 
-#: Chunk sizes for fingerprints: 16 hex digits are 64 bits, so unequal fingerprints share no chunk by chance.
-FINGERPRINT = {"least": 16, "bits": 3, "most": 32}
+#: Chunk sizes for fingerprints of 32 bytes: 8 bytes are 64 bits, so unequal fingerprints share no chunk by chance.
+FINGERPRINT = {"least": 8, "bits": 2, "most": 16}
+#: The chunk-to-content table. A content is known by its 64-bit id; total is its length.
+TABLE = "chunk long, bytes int, id long, total int, batch int"
 
 
 def chunk_rows(contents: DataFrame, **sizes: int) -> DataFrame:
-    """(chunk, bytes, content, total) of a table of distinct (content string, batch int), with batch kept.
+    """TABLE rows of a table of distinct (content binary, batch int).
 
-    bytes counts a chunk once for each time the content has it; total is the content's length in bytes.
+    bytes counts a chunk once for each time the content has it.
     """
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [x.encode() for x in b["content"]]
+            texts = [bytes(x) for x in b["content"]]
             row, length, value = chunk(texts, **sizes)
             g = pd.DataFrame({"row": row, "chunk": value, "bytes": length}).groupby(["row", "chunk"], as_index=False)["bytes"].sum()
             at = g["row"].to_numpy()
-            yield pd.DataFrame(
-                {"chunk": g["chunk"], "bytes": g["bytes"], "content": b["content"].to_numpy()[at], "total": np.array([len(t) for t in texts], dtype=np.int64)[at], "batch": b["batch"].to_numpy()[at]}
-            )
+            total = np.array([len(t) for t in texts], dtype=np.int64)[at]
+            yield pd.DataFrame({"chunk": g["chunk"], "bytes": g["bytes"], "id": b["id"].to_numpy()[at], "total": total, "batch": b["batch"].to_numpy()[at]})
 
-    return contents.select("content", "batch").mapInPandas(cuts, "chunk long, bytes long, content string, total long, batch int")
+    return contents.filter("content is not null").select("content", "batch", content_id(F.col("content")).alias("id")).mapInPandas(cuts, TABLE)
+
+
+def content_id(content: Column) -> Column:
+    return F.xxhash64(content)
 
 
 class History:
@@ -48,22 +53,23 @@ class History:
 
     def append(self, contents: DataFrame) -> None:
         """Adds distinct (content, batch) rows; nulls and empty contents add nothing."""
-        chunk_rows(contents.filter("content is not null"), **self.sizes).write.mode("append").parquet(self.path)
+        chunk_rows(contents, **self.sizes).write.mode("append").parquet(self.path)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema("chunk long, bytes long, content string, total long, batch int").parquet(self.path)
+        return self.spark.read.schema(TABLE).parquet(self.path)
 
     def match(self, contents: DataFrame) -> DataFrame:
-        """(content, known, shared, total, batch): pairs of a new and a known content that cover the new one enough.
+        """(id, known, total, shared, batch): pairs of a new and a known content that cover the new one enough.
 
         Only a content's rarest chunks are looked up: those that a sufficient cover cannot miss, which for full cover
         is the single rarest one. A chunk that a third of all contents share is thus looked up by none that has a
         rarer one. Byte totals of the candidates are then summed over all chunks.
         """
-        known = self.table()
-        new = cut(chunk_rows(contents.filter("content is not null"), **self.sizes).drop("batch"))
-        often = known.join(new.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-        rare_first = Window.partitionBy("content").orderBy("n", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+        new = cut(chunk_rows(contents, **self.sizes).drop("batch"))
+        wanted = new.select("chunk").distinct()
+        known = cut(self.table().select("chunk", F.col("id").alias("known"), "batch").join(wanted, "chunk", "left_semi"))
+        often = known.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+        rare_first = Window.partitionBy("id").orderBy("n", "chunk").rowsBetween(Window.unboundedPreceding, -1)
         needed = (
             new.join(often, "chunk", "left")
             .withColumn("n", F.coalesce("n", F.lit(0)))
@@ -71,21 +77,26 @@ class History:
             .filter(F.col("before") <= (1 - self.coverage) * F.col("total"))
             .filter("n > 0")
         )
-        pairs = needed.select("chunk", "content").join(known.select("chunk", F.col("content").alias("known"), "batch"), "chunk").select("content", "known", "batch").distinct()
-        have = known.select("chunk", F.col("content").alias("known"), "batch")
+        pairs = needed.select("chunk", "id").join(known, "chunk").select("id", "known", "batch").distinct()
         return (
-            pairs.join(new, "content")
-            .join(have, ["known", "batch", "chunk"])
-            .groupBy("content", "known", "batch", "total")
+            pairs.join(new, "id")
+            .join(known, ["known", "batch", "chunk"])
+            .groupBy("id", "known", "batch", "total")
             .agg(F.sum("bytes").alias("shared"))
             .filter(F.col("shared") >= self.coverage * F.col("total"))
         )
 
 
 def _contents(df: DataFrame, batch: str) -> DataFrame:
-    """(row id, kind, content, batch) for each fingerprint of rows that count."""
-    both = F.array(F.struct(F.lit("full").alias("kind"), full_hash(F.col("hash")).alias("content")), F.struct(F.lit("sparse").alias("kind"), sparse_hash(F.col("sparse_hash")).alias("content")))
-    return df.filter(counts(F.col("size_bytes"))).select(F.expr(batch).cast("int").alias("batch"), *(["record_id"] if "record_id" in df.columns else []), F.explode(both).alias("x")).select("*", "x.kind", "x.content").drop("x").filter("content is not null")
+    """(record_id where there is one, batch, kind, content) for each fingerprint of rows that count, as bytes."""
+    full, sparse = full_hash(F.col("hash")), sparse_hash(F.col("sparse_hash"))
+    both = F.array(
+        F.struct(F.lit("full").alias("kind"), F.unhex(full).alias("content")),
+        F.struct(F.lit("sparse").alias("kind"), F.concat(F.lit(b"s-"), F.unhex(F.substring(sparse, 3, 64))).alias("content")),
+    )
+    ids = [c for c in ("record_id",) if c in df.columns]
+    rows = df.filter(counts(F.col("size_bytes"))).select(F.expr(batch).cast("int").alias("batch"), *ids, F.explode(both).alias("x"))
+    return rows.select("batch", *ids, "x.kind", "x.content").filter("content is not null")
 
 
 def known_records(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -93,24 +104,19 @@ def known_records(files: DataFrame, records: DataFrame) -> DataFrame:
 
     The catalogue is batch 0 of the history. Each distinct fingerprint is chunked and stored once, with the batch
     that brought it first; a later batch meets it if that number is smaller than its own, so that replaying all
-    batches is one match. Equality of the matched fingerprints is checked last, as full cover ignores order.
+    batches is one match. Equality of the matched ids is checked last, as full cover ignores order.
 
     Fingerprints that are null or broken, and rows of size 0 on either side, don't count; null batch numbers match
     nothing; repeated records come out once; empty tables give no rows; other columns are ignored.
     """
-    spark = records.sparkSession
-    rows = cut(_contents(records, "batch_no"))
+    rows = _contents(records, "batch_no")
     first = rows.filter("batch is not null").select("content", "batch").unionByName(_contents(files, "0").select("content", "batch")).groupBy("content").agg(F.min("batch").alias("batch"))
-    history = History(spark)
+    history = History(records.sparkSession)
     history.append(first)
     new = rows.select("content").distinct().withColumn("batch", F.lit(0))
-    seen = cut(history.match(new).filter("content = known").select("content", F.col("batch").alias("since")))
-    return (
-        skew_join(rows, seen, ["content"])
-        .filter("since < batch")
-        .groupBy("record_id")
-        .agg(F.min("kind").alias("match_kind"))
-    )
+    seen = cut(history.match(new).filter("id = known").select("id", F.col("batch").alias("since")))
+    records_of = rows.select("record_id", "batch", "kind", content_id(F.col("content")).alias("id"))
+    return skew_join(records_of, seen, ["id"]).filter("since < batch").groupBy("record_id").agg(F.min("kind").alias("match_kind"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
