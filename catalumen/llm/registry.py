@@ -5,4 +5,5 @@ MODULES = [
     "catalumen.llm.survivors",
     "catalumen.llm.history",
     "catalumen.llm.seen",
+    "catalumen.llm.tokens",
 ]
