@@ -6,4 +6,5 @@ MODULES = [
     "catalumen.llm.history",
     "catalumen.llm.seen",
     "catalumen.llm.tokens",
+    "catalumen.llm.mixture",
 ]
