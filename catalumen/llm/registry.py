@@ -7,4 +7,5 @@ MODULES = [
     "catalumen.llm.seen",
     "catalumen.llm.tokens",
     "catalumen.llm.mixture",
+    "catalumen.llm.abuse",
 ]
