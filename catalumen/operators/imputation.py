@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.operators.lowrank import BUCKETS, LowRank, bucket, encoded
+from catalumen.operators.lowrank import LowRank, bucket, encoded
 from catalumen.operators.timestamps import normalise, utc_text
 from catalumen.runtime import blank, cut, skew_join, table
 
@@ -151,5 +151,3 @@ def p6_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_imputed": p6_imputed}
 SQL: dict[str, str] = {}
-
-__all__ = ["BUCKETS", "QUERIES", "SQL"]
