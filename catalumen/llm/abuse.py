@@ -31,7 +31,7 @@ SUSPECT, TRUSTED, LIFT = 0.15, 0.8, 1.0
 #: Constant of a model without labelled words: everything is harmless.
 NO_DATA = -5.0
 #: Score from which a document is reported.
-CUT = 0.35
+CUT = 0.25
 #: Tokens of a segment; longer sentences are read in windows of that many tokens that overlap by half.
 WINDOW = 12
 KEPT = 200_000
