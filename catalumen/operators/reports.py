@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalumen.functions.fingerprints import full_hash
 from catalumen.functions.paths import file_name, file_type
 from catalumen.operators.links import OUTPUT_TYPES, without_link
-from catalumen.runtime import skew_join
+from catalumen.runtime import cut, skew_join
 
 
 def _missing_flag(on: str) -> Column:
@@ -25,11 +25,12 @@ def source_report(listing: DataFrame, files: DataFrame, occurrences: DataFrame)
     kind = file_type(file_name(F.col("path")), resource_forks=False)
     by_path = occurrences.filter("path is not null").groupBy("path").agg(F.max_by("file_id", F.struct("seen_at", "file_id")).alias("path_id"))
     by_hash = files.select(full_hash(F.col("hash")).alias("h"), "id").filter("h is not null").groupBy("h").agg(F.min("id").alias("hash_id"))
-    rows = listing.select("path", full_hash(F.col("hash")).alias("h")).withColumn("file_type", kind).join(by_path, "path", "left")
+    rows = listing.select("path", full_hash(F.col("hash")).alias("h")).withColumn("file_type", kind)
+    rows = cut(rows.join(by_path, "path", "left"))  # read several times
     open_ = rows.filter("path_id is null and file_type <> 'other' and h is not null")
     met = skew_join(open_, by_hash, ["h"], "left")
     rest = rows.filter("not (path_id is null and file_type <> 'other' and h is not null)").withColumn("hash_id", F.lit(None).cast("long"))
-    found = met.select(*rest.columns).unionByName(rest).withColumn("file_id", F.coalesce("path_id", "hash_id"))
+    found = cut(met.select(*rest.columns).unionByName(rest).withColumn("file_id", F.coalesce("path_id", "hash_id")))
     known = files.select(F.col("id").alias("file_id"), F.col("orig_path").alias("canonical"), F.col("dest_path").alias("dest"))
     both = found.filter("file_id is null").withColumns({"canonical": F.lit(None).cast("string"), "dest": F.lit(None).cast("string")})
     both = both.unionByName(skew_join(found.filter("file_id is not null"), known, ["file_id"], "left").select(*both.columns))

@@ -118,7 +118,7 @@ def plan_destinations(files: DataFrame, captures: DataFrame, root: str = "/organ
         loose = rows.filter("type = 'psd'")
         if linked_psds is not None:
             loose = loose.join(linked_psds.select(F.col("psd_file_id").alias("id")).distinct(), "id", "left_anti")
-        every = every.unionByName(wants(loose, plain, 2, F.lit("")))
+        every = cut(every.unionByName(wants(loose, plain, 2, F.lit(""))))
         others = files.filter("dest_path is not null").join(every.select("id"), "id", "left_anti")
         taken = others.select(parent(F.col("dest_path")).alias("folder"), F.regexp_extract("dest_path", r"[^/]*\z", 0).alias("name"))
     named = number_names(every, taken, order=("pass", "by", "first", "id"))
