@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.operators.lowrank import LowRank, bucket, encoded
-from catalumen.operators.timestamps import normalise, utc_text
-from catalumen.runtime import blank, cut, skew_join, table
+from catalumen.operators.lowrank import LowRank, bucket
+from catalumen.operators.timestamps import READ_SQL, normalise, utc_text
+from catalumen.runtime import blank, cut, skew_join, spread, table
 
 #: Seconds from a record within which another may lend it a camera model.
 NEAR = 600
@@ -100,12 +100,12 @@ def _options(models: str) -> Column:
 def fill(rows: DataFrame, whole: bool = False) -> DataFrame:
     """(file_id, field, filled, source, choices) of all filled cells; choices counts the admissible values.
 
-    A low-rank model of all records' mixed cells scores each missing model's admissible values and decodes the best.
+    A low-rank model of all records' mixed cells scores each missing model's admissible values and decodes the best. rows: cells(), cut.
     A cell with one admissible value can only be decoded to that; with several (nearest records that disagree) the
     model chooses. With `whole`, cells without admissible values are decoded over all models in use (source model),
     and missing sizes and durations are predicted.
     """
-    have = encoded(features(rows))
+    have = cut(features(spread(rows)))  # every round reads it
     model = LowRank(CATEGORIES, NUMBERS).fit(have)
     inputs = ["file_id", "folder_path", "seconds"]
     lacking = have.filter("camera is null").dropDuplicates(inputs)
@@ -150,4 +150,18 @@ def p6_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_imputed": p6_imputed}
-SQL: dict[str, str] = {}
+SQL = {
+    "p6_found": f"""WITH {READ_SQL},
+c AS (SELECT r.file_id, CASE WHEN contains(orig_path, '/') THEN regexp_replace(orig_path, '/[^/]*$', '') ELSE '' END AS folder, lower(regexp_extract(orig_path, '[^/]*$', 0)) AS n, seconds,
+    CASE WHEN regexp_matches(camera_model, '[0-9]') THEN lower(regexp_replace(regexp_replace(camera_model, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) END AS camera
+  FROM read r JOIN files f ON f.id = r.file_id WHERE regexp_matches(orig_path, '\\S')),
+x AS (SELECT DISTINCT *, CASE WHEN regexp_matches(n, '^.+\\.[^.]*$') THEN regexp_replace(n, '\\.[^.]*$', '') ELSE n END AS stem FROM c),
+fo AS (SELECT folder, min(camera) AS low, max(camera) AS high FROM x WHERE camera IS NOT NULL GROUP BY folder),
+near AS (SELECT a.folder, a.seconds, abs(b.seconds - a.seconds) AS d, min(b.camera) AS low, max(b.camera) AS high
+  FROM (SELECT DISTINCT folder, seconds FROM x WHERE camera IS NULL AND seconds IS NOT NULL) a JOIN x b ON a.folder = b.folder AND b.camera IS NOT NULL AND abs(b.seconds - a.seconds) <= {NEAR}
+  GROUP BY a.folder, a.seconds, abs(b.seconds - a.seconds) QUALIFY row_number() OVER (PARTITION BY a.folder, a.seconds ORDER BY abs(b.seconds - a.seconds)) = 1),
+shot AS (SELECT folder, stem, min(seconds) AS first FROM x WHERE seconds IS NOT NULL GROUP BY folder, stem)
+SELECT DISTINCT file_id, 'camera_model' AS field, low AS filled FROM x JOIN fo USING (folder) WHERE camera IS NULL AND low = high
+UNION SELECT file_id, 'camera_model', near.low FROM x JOIN fo USING (folder) JOIN near USING (folder, seconds) WHERE camera IS NULL AND fo.low <> fo.high AND near.low = near.high
+UNION SELECT file_id, 'capture_datetime', strftime(make_timestamp(first * 1000000), '%Y-%m-%dT%H:%M:%SZ') FROM x JOIN shot USING (folder, stem) WHERE seconds IS NULL""",
+}

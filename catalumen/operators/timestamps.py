@@ -191,4 +191,24 @@ def p3_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable] = {"p3_found": p3_found, "p3_readings": p3_readings}
 
-SQL: dict[str, str] = {}
+READ_SQL = r"""
+root_of AS (SELECT f.id, arg_max(coalesce(r.time_zone, ''), length(rtrim(r.root_path, '/'))) AS root_zone
+  FROM files f JOIN scan_roots r ON regexp_matches(f.orig_path, '\S') AND regexp_matches(r.root_path, '\S')
+    AND (f.orig_path = rtrim(r.root_path, '/') OR starts_with(f.orig_path, rtrim(r.root_path, '/') || '/')) GROUP BY f.id),
+texts AS (SELECT m.*, regexp_replace(m.capture_datetime, '^\s+|\s+$', '', 'g') AS t, nullif(r.root_zone, '') AS root_zone
+  FROM media_metadata m LEFT JOIN root_of r ON r.id = m.file_id),
+told AS (SELECT *, CASE WHEN starts_with(t, 'UTC ') THEN 'UTC' ELSE nullif(regexp_extract(t, '(Z|UTC|GMT|[+-]\d{2}:?\d{2}|[A-Z][A-Za-z]+(?:/[A-Za-z_]+)+)$', 1), '') END AS text_zone,
+    regexp_replace(trim(regexp_replace(regexp_replace(t, '^UTC ', ''), ' ?(Z|UTC|GMT|[+-]\d{2}:?\d{2}|[A-Z][A-Za-z]+(?:/[A-Za-z_]+)+)$', '')), '[.,]\d+$', '') AS body FROM texts),
+parsed AS (SELECT *, coalesce(text_zone, root_zone) AS zone, try_strptime(body, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y:%m:%d %H:%M:%S',
+    '%Y%m%d_%H%M%S', '%Y%m%dT%H%M%S', '%d.%m.%Y %H:%M:%S', '%m/%d/%Y %I:%M:%S %p', '%a, %d %b %Y %H:%M:%S']) AS tm FROM told),
+zoned AS (SELECT *, CASE WHEN regexp_full_match(t, '\d{10}') THEN t::BIGINT WHEN regexp_full_match(t, '\d{13}') THEN t::BIGINT // 1000
+    WHEN zone IN ('Z', 'UTC', 'GMT') THEN epoch(tm)::BIGINT
+    WHEN regexp_matches(zone, '^[+-]') THEN epoch(tm)::BIGINT - (zone[1] || '1')::INT * (zone[2:3]::INT * 3600 + right(zone, 2)::INT * 60)
+    ELSE epoch(timezone(zone, tm))::BIGINT END AS at_,
+    tm IS NOT NULL AND zone NOT IN ('Z', 'UTC', 'GMT') AND NOT regexp_matches(zone, '^[+-]') AS by_region FROM parsed),
+read AS (SELECT * EXCLUDE (at_), CASE WHEN s >= 631152000 THEN s END AS seconds FROM (SELECT *,
+    CASE WHEN by_region AND timezone(zone, make_timestamptz((at_ - 3600) * 1000000)) = tm THEN at_ - 3600 ELSE at_ END AS s FROM zoned))"""
+#: ICU reads an hour that occurs twice as the later instant: the earlier one is taken where it shows the same time.
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {READ_SQL} SELECT DISTINCT file_id, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_utc FROM read WHERE seconds IS NOT NULL",
+}
