@@ -1,4 +1,4 @@
-"""python -m catalumen organize | report | query | issues | bench"""
+"""python -m catalumen organize | query | issues | diagnose | inspect | bench"""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from catalumen.operators import logs, pipeline, reports
 from catalumen.operators.catalog import known_sparse, metadata_of
 from catalumen.runtime import build_session
-from catalumen.sources import listing, scan, sinks
+from catalumen.sources import diagnostics, listing, scan, sinks
 from catalumen.sources.snapshots import Catalog
 
 
@@ -98,6 +98,16 @@ def issues(a: argparse.Namespace) -> int:
     return 0
 
 
+def diagnose(a: argparse.Namespace) -> int:
+    diagnostics.video_diagnostic(build_session(), os.path.abspath(a.dir)).orderBy("file", "tool").write.mode("overwrite").csv(a.out, header=True, emptyValue="")
+    return 0
+
+
+def inspect(a: argparse.Namespace) -> int:
+    show(diagnostics.inspect_file(build_session(), a.file).orderBy(F.desc("about_camera"), "track", "tag"))
+    return 0
+
+
 def bench(a: argparse.Namespace) -> int:
     results = []
     for workers in a.workers:
@@ -132,6 +142,10 @@ def main(args: list[str] | None = None) -> int:
     q.set_defaults(run=query)
     i = sub.add_parser("issues")
     i.add_argument("--log", required=True), i.add_argument("--unknown-csv"), i.add_argument("--out"), i.set_defaults(run=issues)
+    d = sub.add_parser("diagnose")
+    d.add_argument("dir", nargs="?", default="."), d.add_argument("out", nargs="?", default="video_metadata_report.csv"), d.set_defaults(run=diagnose)
+    n = sub.add_parser("inspect")
+    n.add_argument("file"), n.set_defaults(run=inspect)
     b = sub.add_parser("bench")
     b.add_argument("src"), b.add_argument("--skip-dest"), b.add_argument("--workers", type=int, nargs="+", default=[1, 2, 4, 8]), b.add_argument("--repeats", type=int, default=3)
     b.add_argument("--use-phash", action="store_true"), b.add_argument("--output", default="bench_scan_results.json"), b.set_defaults(run=bench)

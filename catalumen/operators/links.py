@@ -44,6 +44,14 @@ def sidecar_links_of_occurrences(occurrences: DataFrame, files: DataFrame) -> Da
     return raw.join(side, ["dir", "stem"]).select("raw_file_id", "sidecar_file_id").distinct()
 
 
+def sidecar_index(occurrences: DataFrame, files: DataFrame) -> DataFrame:
+    """(dir, stem, raws, sidecars): how many raw files and sidecars were seen under each directory and lower-case stem."""
+    kinds = files.filter(F.col("type").isin("raw", "sidecar")).select(F.col("id").alias("file_id"), "type")
+    p = F.col("path")
+    seen = occurrences.filter("path is not null").select("file_id", parent(p).alias("dir"), F.lower(stem(file_name(p))).alias("stem")).distinct().join(kinds, "file_id")
+    return seen.groupBy("dir", "stem").agg(F.count_if(F.col("type") == "raw").alias("raws"), F.count_if(F.col("type") == "sidecar").alias("sidecars"))
+
+
 def _sides(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """captures: id, type, orig_name, capture_datetime, camera_model, phash, at (local seconds)."""
     core = digit_core(stem(F.col("orig_name")))

@@ -166,7 +166,7 @@ def normalise(media: DataFrame, files: DataFrame, roots: DataFrame, text: str =
     allowed = F.array(*(F.lit(1.0 if f in formats else 0.0) for f in FORMATS))
     usable = F.zip_with("posterior", allowed, lambda x, y: x * y)
     best = F.array_max(usable)
-    fitted = fitted.select("source", "mask", "posterior", F.when(best > 0, F.array_position(usable, best)).cast("int").alias("pick"))
+    fitted = cut(fitted.select("source", "mask", "posterior", F.when(best > 0, F.array_position(usable, best)).cast("int").alias("pick")))
     out = rows.join(bounded_broadcast(fitted), ["source", "mask"], "left")
     chosen = F.get("readings", F.col("pick") - 1)
     rival = F.exists(F.arrays_zip("readings", "posterior"), lambda x: (x["posterior"] > 1 - sure) & (x["readings"] != F.get(F.col("readings"), F.col("pick") - 1)))

@@ -27,6 +27,10 @@ def sidecar_link_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return links.sidecar_links_of_occurrences(table(spark, d, "file_occurrences"), table(spark, d, "files"))
 
 
+def sidecar_index(spark: SparkSession, d: str) -> DataFrame:
+    return links.sidecar_index(table(spark, d, "file_occurrences"), table(spark, d, "files"))
+
+
 def digit_core_time_link(spark: SparkSession, d: str) -> DataFrame:
     return links.by_name_and_time(captures(spark, d))
 
@@ -52,7 +56,7 @@ def psd_stem_link_v2(spark: SparkSession, d: str) -> DataFrame:
     return links.psd_links(table(spark, d, "files"))
 
 
-QUERIES = {f.__name__: f for f in (sidecar_link, sidecar_link_occurrences, digit_core_time_link, time_camera_band_link, phash_band_link, link_priority_merge, psd_stem_link_v1, psd_stem_link_v2)}
+QUERIES = {f.__name__: f for f in (sidecar_link, sidecar_link_occurrences, sidecar_index, digit_core_time_link, time_camera_band_link, phash_band_link, link_priority_merge, psd_stem_link_v1, psd_stem_link_v2)}
 
 _OUT = "('jpeg', 'psd', 'video', 'tiff')"
 _CORE = f"regexp_replace({sql.stem('orig_name')}, '[^0-9]', '', 'g')"
@@ -78,6 +82,8 @@ SQL = {
 SELECT DISTINCT r.id AS raw_file_id, s.id AS sidecar_file_id FROM f r JOIN f s USING (dir, st) WHERE r.type = 'raw' AND s.type = 'sidecar'""",
     "sidecar_link_occurrences": f"""WITH f AS (SELECT DISTINCT f.id, type, {sql.parent('path')} AS dir, lower({sql.stem(sql.name('path'))}) AS st FROM file_occurrences o JOIN files f ON f.id = o.file_id WHERE path IS NOT NULL)
 SELECT DISTINCT r.id AS raw_file_id, s.id AS sidecar_file_id FROM f r JOIN f s USING (dir, st) WHERE r.type = 'raw' AND s.type = 'sidecar'""",
+    "sidecar_index": f"""WITH f AS (SELECT DISTINCT f.id, type, {sql.parent('path')} AS dir, lower({sql.stem(sql.name('path'))}) AS stem FROM file_occurrences o JOIN files f ON f.id = o.file_id WHERE path IS NOT NULL AND type IN ('raw', 'sidecar'))
+SELECT dir, stem, count(*) FILTER (WHERE type = 'raw') AS raws, count(*) FILTER (WHERE type = 'sidecar') AS sidecars FROM f GROUP BY dir, stem""",
     "digit_core_time_link": _SIDES + "SELECT * FROM p1",
     "time_camera_band_link": _SIDES + "SELECT * FROM p2",
     "phash_band_link": _SIDES + "SELECT * FROM p3",

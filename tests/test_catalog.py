@@ -1,10 +1,12 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalumen.operators import catalog, links
 from catalumen.operators.components import connected_components
 from catalumen.plans import destinations
+from catalumen.runtime import skew_join
 
 H, K = "a" * 64, "b" * 64
 S = "s-" + "c" * 64
@@ -125,3 +127,12 @@ def test_plans_have_no_cross_join(spark):
     for df in (links.by_picture(rows), links.by_time_and_camera(rows)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_skew_join_as_a_join(spark, how):
+    left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 40)], "k long, v string")
+    got, want = skew_join(left, right, ["k"], how), left.join(right, ["k"], how)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert skew_join(left.limit(0), right, ["k"], how).count() == 0

@@ -154,3 +154,17 @@ def test_command_line(spark, tree, capsys):
     (tree / "o.log").write_text("No EXIF tags found for /x.jpg\n")
     assert cli.main(["issues", "--log", str(tree / "o.log"), "--out", str(tree / "iss")]) == 0
     assert "img.dng" in capsys.readouterr().out
+
+
+def test_diagnostic_and_inspector(spark, tree, capsys):
+    from catalumen import __main__ as cli
+    from catalumen.sources import diagnostics
+
+    rows = diagnostics.video_diagnostic(spark, str(tree / "src")).collect()
+    assert [(r.file, r.tool) for r in rows] == [("clip.mp4", t) for t in ("mediainfo", "ffprobe", "exiftool")]
+    assert rows[0].capture_datetime == "2020-01-02 03:04:05 UTC" and rows[0].duration_sec == "5.0"
+    tags = spark.createDataFrame([("f", "General", {"Device_Model": "X", "empty": "", "long": "y" * 70})], "file string, track string, tags map<string,string>")
+    got = {r.tag: (r.value, r.about_camera) for r in diagnostics.tag_rows(tags).collect()}
+    assert got == {"Device_Model": ("X", True), "long": ("y" * 57 + "...", False)}
+    assert cli.main(["inspect", str(tree / "src/clip.mp4")]) == 0
+    assert "encoded_date" in capsys.readouterr().out
