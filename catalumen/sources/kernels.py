@@ -6,6 +6,7 @@ Only headers are read where headers hold what is asked for. Whatever can't be re
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import re
 import struct
@@ -18,8 +19,6 @@ import numpy as np
 
 from catalumen.functions.constants import EXIF_DATE_TAGS, SPARSE_BLOCK, SPARSE_FROM
 
-#: Bytes of a file's head in which tags are looked for.
-HEAD = 1 << 18
 #: Fixed values of the TIFF tag registry.
 _TAGS = {0x0100: "width", 0x0101: "height", 0x0110: "Image Model", 0x0132: "Image DateTime", 0x8769: "exif", 0x9003: "EXIF DateTimeOriginal", 0x9004: "EXIF DateTimeDigitized", 0xA002: "exif_width", 0xA003: "exif_height", 0xA434: "EXIF LensModel"}
 #: Bytes of a value by TIFF type: fixed values.
@@ -54,34 +53,46 @@ def fingerprint(path: str, size: int, least: int = SPARSE_FROM, force_full: bool
     return (full_hash(path) if force_full or not large else None), (sparse_hash(path) if large else None)
 
 
-def tiff_tags(data: bytes) -> dict[str, str | int]:
-    """Tags of interest of a TIFF block; offsets beyond the given bytes are passed over."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+def _ascii(f: BinaryIO, size: int, block: int = 1 << 16) -> str:
+    """The text from here to its first zero byte, of at most size bytes."""
+    raw = b""
+    while size > len(raw) and (part := f.read(min(block, size - len(raw)))):
+        raw += part
+        if b"\0" in part:
+            break
+    return raw.split(b"\0")[0].decode("utf-8", "replace")
+
+
+def tiff_tags(f: BinaryIO) -> dict[str, str | int]:
+    """Tags of interest of a TIFF file or block, wherever in it they are; offsets beyond its end are passed over."""
+    end = f.seek(0, os.SEEK_END)
+    f.seek(0)
+    head = f.read(8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8:
         return {}
     out: dict[str, str | int] = {}
-    todo, seen = [struct.unpack(order + "I", data[4:8])[0]], set()
+    todo, seen = [struct.unpack(order + "I", head[4:])[0]], set()
     while todo:
         at = todo.pop()
-        if at in seen or at + 2 > len(data):
+        if at in seen or at + 2 > end:
             continue
         seen.add(at)
-        for i in range(struct.unpack_from(order + "H", data, at)[0]):
-            entry = at + 2 + 12 * i
-            if entry + 12 > len(data):
-                break
-            tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
+        f.seek(at)
+        entries = f.read(12 * struct.unpack(order + "H", f.read(2))[0])
+        for entry in range(0, len(entries) - 11, 12):
+            tag, kind, count = struct.unpack_from(order + "HHI", entries, entry)
             name, size = _TAGS.get(tag), _SIZES.get(kind, 0) * count
             if name is None or not size:
                 continue
-            where = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-            raw = data[where : where + size]
-            if len(raw) < size:
+            where = at + 2 + entry + 8 if size <= 4 else struct.unpack_from(order + "I", entries, entry + 8)[0]
+            if where + size > end:
                 continue
+            f.seek(where)
             if kind == 2:
-                out.setdefault(name, raw.split(b"\0")[0].decode("utf-8", "replace"))
+                out.setdefault(name, _ascii(f, size))
             elif kind in (3, 4):
-                value = struct.unpack(order + ("H" if kind == 3 else "I"), raw[: 2 if kind == 3 else 4])[0]
+                value = struct.unpack(order + ("H" if kind == 3 else "I"), f.read(2 if kind == 3 else 4))[0]
                 todo.append(value) if name == "exif" else out.setdefault(name, value)
     return out
 
@@ -93,7 +104,7 @@ def _jpeg(f: BinaryIO) -> tuple[dict[str, str | int], int | None, int | None]:
         mark, length = head[1], struct.unpack(">H", head[2:])[0]
         body = f.read(length - 2)
         if mark == 0xE1 and body.startswith(b"Exif\0\0"):
-            tags = tags or tiff_tags(body[6:])
+            tags = tags or tiff_tags(io.BytesIO(body[6:]))
         elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
             height, width = struct.unpack(">HH", body[1:5])
             return tags, width, height
@@ -116,8 +127,7 @@ def image_head(path: str) -> tuple[dict[str, str | int], int | None, int | None]
             height, width = struct.unpack(">II", head[14:22])
             return {}, width, height
         if head[:2] in (b"II", b"MM"):
-            f.seek(0)
-            tags = tiff_tags(f.read(HEAD))
+            tags = tiff_tags(f)
             size = [tags.get("exif_" + k) or tags.get(k) for k in ("width", "height")]
             return tags, size[0], size[1]  # type: ignore[return-value]
     return {}, None, None

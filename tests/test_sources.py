@@ -71,6 +71,30 @@ def test_kernels(tmp_path):
     assert kernels.image_head(p) == ({}, None, None) and kernels.picture_hash(p) is None and kernels.movie_head(p) == {}
 
 
+def late_tiff(gap=1 << 20):
+    """A TIFF whose directories and values follow its strip data, far from each other."""
+    model, date, lens = b"cam late\0", b"2020:01:02 03:04:05\0", b"lens late\0"
+    ifd_at = 8 + gap
+    model_at = ifd_at + 2 + 12 * 4 + 4
+    exif_at = model_at + len(model) + gap
+    date_at = exif_at + 2 + 12 * 2 + 4
+    entry = lambda tag, kind, count, value: struct.pack("<HHII", tag, kind, count, value)
+    ifd = struct.pack("<H", 4) + entry(0x0100, 4, 1, 900) + entry(0x0101, 4, 1, 600) + entry(0x0110, 2, len(model), model_at) + entry(0x8769, 4, 1, exif_at) + b"\0" * 4
+    exif = struct.pack("<H", 2) + entry(0x9003, 2, len(date), date_at) + entry(0xA434, 2, len(lens), date_at + len(date)) + b"\0" * 4
+    return b"II*\0" + struct.pack("<I", ifd_at) + b"\1" * gap + ifd + model + b"\1" * gap + exif + date + lens
+
+
+def test_late_tiff_directories(spark, tmp_path):
+    for name in ("late.tif", "late.dng"):
+        (tmp_path / name).write_bytes(late_tiff())
+        assert kernels.image_head(str(tmp_path / name))[1:] == (900, 600)
+    rows = scan.scan(spark, str(tmp_path), dialect="v1").collect()
+    assert {(r.camera_model, r.lens_model, str(r.capture_datetime)) for r in rows} == {("cam late", "lens late", "2020-01-02 03:04:05")}
+    assert {(r.orig_name, r.width, r.height) for r in rows} == {("late.tif", 900, 600), ("late.dng", None, None)}
+    (tmp_path / "cut.tif").write_bytes(late_tiff()[: 9 + (1 << 20)])
+    assert kernels.image_head(str(tmp_path / "cut.tif")) == ({}, None, None)
+
+
 def test_listing(spark, tree):
     skips = spark.createDataFrame([(str(tree / "src/skip"),)], "skip_dir string")
     rows = listing.list_files(spark, str(tree / "src"), skips)
