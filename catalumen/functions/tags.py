@@ -54,9 +54,11 @@ def exif_tool(tags: Column) -> Column:
 
 
 def video_metadata(general: Column, tool: Column) -> Column:
-    """The general track's, or where that has neither date nor duration, the tool's."""
+    """The general track's, or where that has neither date nor duration, the tool's. A duration of 0 is none."""
+    says = lambda c: c.getField("capture_datetime").isNotNull() | (c.getField("duration_sec") != 0)
     a, b = general_track(general), exif_tool(tool)
-    return F.when(a.getField("capture_datetime").isNotNull() | a.getField("duration_sec").isNotNull(), a).otherwise(b)
+    none = F.lit(None)
+    return F.when(says(a), a).when(says(b), b).otherwise(_result(none.cast("timestamp_ntz"), none.cast("double"), none.cast("string")))
 
 
 DIAGNOSTIC = ["capture_datetime", "duration_sec", "width", "height", "codec", "camera_model", "notes"]

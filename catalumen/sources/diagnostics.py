@@ -21,10 +21,11 @@ from catalumen.sources.listing import list_files
 TOOLS = {"probe": ["ffprobe", "-v", "quiet", "-print_format", "json", "-show_format", "-show_streams"], "tool": ["exiftool", "-j"]}
 
 
-def _ask(command: list[str], path: str) -> str | None:
+def ask(command: list[str], path: str, timeout: int | None = 120) -> str | None:
+    """What a tool prints of a file; null if there is no such tool or it fails."""
     if shutil.which(command[0]) is None:
         return None
-    done = subprocess.run([*command, path], capture_output=True, text=True, timeout=120)
+    done = subprocess.run([*command, path], capture_output=True, text=True, timeout=timeout)
     return done.stdout if done.returncode == 0 else None
 
 
@@ -42,7 +43,7 @@ def tool_outputs(videos: DataFrame) -> DataFrame:
                     general = None
                 for command in TOOLS.values():
                     try:
-                        outputs.append(_ask(command, path))
+                        outputs.append(ask(command, path))
                     except (OSError, subprocess.SubprocessError):
                         outputs.append(None)
                 rows.append((path, general, {}, *outputs))
@@ -70,6 +71,6 @@ def tag_rows(tags: DataFrame) -> DataFrame:
 def inspect_file(spark: SparkSession, path: str) -> DataFrame:
     """All tags of one file: of its container, and of the tool where there is one."""
     found = [(path, "General", kernels.movie_head(path))]
-    if said := _ask(TOOLS["tool"], path):
+    if said := ask(TOOLS["tool"], path):
         found += [(path, "Tool", {k: str(v) for k, v in one.items()}) for one in json.loads(said)]
     return tag_rows(spark.createDataFrame(found, "file string, track string, tags map<string,string>"))

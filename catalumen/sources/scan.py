@@ -10,23 +10,26 @@ from pyspark.sql import functions as F
 
 from catalumen.functions.constants import SPARSE_FROM
 from catalumen.functions.paths import file_type, name_score, stem, suffix
-from catalumen.functions.tags import general_track, image_metadata
+from catalumen.functions.tags import general_track_v1, image_metadata, tool_tags, video_metadata
 from catalumen.functions.times import date_from_path
 from catalumen.operators.catalog import hashing_plan
 from catalumen.operators.timestamps import utc_text
 from catalumen.runtime import cut
 from catalumen.sources import kernels
+from catalumen.sources.diagnostics import ask
 from catalumen.sources.listing import list_files
 
-_READ = "hash string, sparse_hash string, tags map<string,string>, width int, height int, phash string, error string"
+_READ = "hash string, sparse_hash string, tags map<string,string>, width int, height int, phash string, tool string, error string"
+#: The command line of the tool that reads what movie_head doesn't; numbers and dates as they are.
+_TOOL = ["exiftool", "-j", "-n"]
 
 
-def _reader(least: int, force_full: bool, pictures: bool):
+def _reader(least: int, force_full: bool, pictures: bool, fallback: bool):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, kind, size in zip(b["path"], b["type"], b["size_bytes"], strict=True):
-                full = sparse = width = height = phash = error = None
+                full = sparse = width = height = phash = tool = error = None
                 tags: dict[str, str] = {}
                 try:
                     full, sparse = kernels.fingerprint(path, int(size), least, force_full)
@@ -42,8 +45,13 @@ def _reader(least: int, force_full: bool, pictures: bool):
                         phash = kernels.picture_hash(path)
                 except Exception:  # noqa: BLE001  a broken header is a file without tags
                     tags = tags or {}
-                rows.append((full, sparse, tags, width, height, phash, error))
-            out = pd.DataFrame(rows, columns=["hash", "sparse_hash", "tags", "width", "height", "phash", "error"])
+                if fallback and kind == "video" and error is None and "encoded_date" not in tags and tags.get("duration", "0") == "0":
+                    try:
+                        tool = ask(_TOOL, path, timeout=None)
+                    except (OSError, ValueError):  # it can't be run, or prints no text
+                        tool = None
+                rows.append((full, sparse, tags, width, height, phash, tool, error))
+            out = pd.DataFrame(rows, columns=["hash", "sparse_hash", "tags", "width", "height", "phash", "tool", "error"])
             out[["width", "height"]] = out[["width", "height"]].astype("Int32")
             yield pd.concat([b.reset_index(drop=True), out], axis=1)
 
@@ -70,22 +78,28 @@ def with_sequence(listing: DataFrame) -> DataFrame:
     return ordered.withColumn("rank", rank).join(F.broadcast(before), "_p").withColumn("seq", F.col("before") + F.col("rank")).drop("_p", "rank", "before", "order_key")
 
 
-def scan(spark: SparkSession, root: str, is_seed: bool = False, known_sparse: DataFrame | None = None, skips: DataFrame | None = None, dialect: str = "v2", pictures: bool = False, least: int = SPARSE_FROM, force_full: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, is_seed: bool = False, known_sparse: DataFrame | None = None, skips: DataFrame | None = None, dialect: str = "v2", pictures: bool = False, least: int = SPARSE_FROM, force_full: bool = False, zone: str | None = None) -> DataFrame:
     """File records of a tree, with seq in walking order. Files that can't be read are left out.
 
     Two stages: sparse fingerprints of large files first; the full hash only where the sparse one is known already
     (known_sparse: sparse_hash) or belongs to an earlier file of the scan. Capture time: the tags', in v1 else the one
-    that the path tells, else the file's. Sizes and picture hashes are kept in v1 only.
+    that the path tells, else the file's. Sizes and picture hashes are kept in v1 only. Videos: v1 takes the container's
+    UTC dates as local time of zone (the driver's own, if none is given); v2 asks exiftool, where it is installed, about
+    those whose container tells neither date nor duration.
     """
     kind = file_type(F.col("name"), resource_forks=dialect == "v2")
     listing = with_sequence(list_files(spark, root, skips)).withColumn("type", kind).repartition(spark.sparkContext.defaultParallelism * 2)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema) + ", " + _READ
-    first = cut(listing.mapInPandas(_reader(least, force_full, pictures and dialect == "v1"), shape).filter("error is null"))
+    first = cut(listing.mapInPandas(_reader(least, force_full, pictures and dialect == "v1", dialect == "v2"), shape).filter("error is null"))
     known = known_sparse if known_sparse is not None else spark.createDataFrame([], "sparse_hash string")
     again = hashing_plan(first, known, "seq").filter("needs_full").select("seq")
     rest = first.filter("hash is null").select("seq", "path").join(again, "seq", "left_semi").mapInPandas(_hash_rest, "seq long, full string")
     rows = first.join(rest, "seq", "left").withColumn("hash", F.coalesce("hash", "full"))
-    image, movie = image_metadata(F.col("tags"), strip=dialect == "v2"), general_track(F.col("tags"))
+    image = image_metadata(F.col("tags"), strip=dialect == "v2")
+    if dialect == "v1":
+        movie = general_track_v1(F.col("tags"), zone or spark.sparkContext._jvm.java.time.ZoneId.systemDefault().getId())
+    else:
+        movie = video_metadata(F.col("tags"), tool_tags(F.col("tool")))
     video = F.col("type") == "video"
     clock = F.rtrim(utc_text(F.floor("mtime")), F.lit("Z")).try_cast("timestamp_ntz")
     told = F.when(video, movie.getField("capture_datetime")).otherwise(image.getField("capture_datetime"))

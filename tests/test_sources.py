@@ -122,6 +122,34 @@ def test_scan(spark, tree):
     assert (old["img.jpg"].width, old["img.jpg"].height) == (2000, 1000) and old["._img.jpg"].type == "jpeg"
 
 
+def test_scan_videos(spark, tmp_path, monkeypatch):
+    src = tmp_path / "2019-05-06"
+    src.mkdir()
+    undated = movie().replace(struct.pack(">IIII", 3_660_779_045, 0, 1000, 5000), struct.pack(">IIII", 0, 0, 1000, 0))
+    for name, data in {"clip.mp4": movie(), "fragments.mp4": undated, "a.avi": b"RIFF", "b.mts": b"G", "c.mpg": b"\0\0\1", "broken.avi": b"x"}.items():
+        (src / name).write_bytes(data)
+        os.utime(src / name, (1_500_000_000, 1_500_000_000))
+    scanned = lambda **k: {r.orig_name: (str(r.capture_datetime), r.duration_sec, r.camera_model) for r in scan.scan(spark, str(src), **k).collect()}
+    v1 = scanned(dialect="v1", zone="Asia/Tokyo")
+    assert v1["clip.mp4"] == ("2020-01-02 12:04:05", 5.0, None) and v1["a.avi"] == ("2019-05-06 00:00:00", None, None)
+    # a stand-in for exiftool, found on the workers' path
+    tool = tmp_path / "bin/exiftool"
+    tool.parent.mkdir()
+    tool.write_text("""#!/bin/sh
+[ "$1 $2" = "-j -n" ] || exit 2
+case "$3" in
+*broken.avi) echo 'Error: unknown type' >&2; exit 1;;
+*) echo '[{"SourceFile": "x", "CreateDate": "2018:03:04 05:06:07", "Duration": 12.5, "Model": "TapeCam"}]';;
+esac
+""")
+    tool.chmod(0o755)
+    monkeypatch.setitem(spark.sparkContext.environment, "PATH", f"{tool.parent}:{os.environ['PATH']}")
+    v2 = scanned()
+    told, clock = ("2018-03-04 05:06:07", 12.5, "TapeCam"), ("2017-07-14 02:40:00", None, None)
+    assert v2 == {"clip.mp4": ("2020-01-02 03:04:05", 5.0, None), "fragments.mp4": told, "a.avi": told, "b.mts": told, "c.mpg": told, "broken.avi": clock}
+    assert scanned(dialect="v1", zone="UTC")["a.avi"] == v1["a.avi"]  # v1 has no other tool
+
+
 def test_organize(spark, tree):
     cat = Catalog(spark, str(tree / "cat"))
     with pytest.raises(FileNotFoundError):
