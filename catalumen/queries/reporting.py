@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalumen.functions.fingerprints import full_hash
 from catalumen.operators import links, logs, reports
 from catalumen.operators.catalog import metadata_of
 from catalumen.queries import linking, sql
@@ -27,13 +28,13 @@ def _meta(spark: SparkSession, d: str) -> DataFrame:
 
 def source_report(spark: SparkSession, d: str) -> DataFrame:
     """Status of each path of the incoming scans."""
-    listing = table(spark, d, "file_records").filter("orig_path is not null").groupBy(F.col("orig_path").alias("path")).agg(F.max("hash").alias("hash"))
+    listing = table(spark, d, "file_records").filter("orig_path is not null").groupBy(F.col("orig_path").alias("path")).agg(F.max(full_hash(F.col("hash"))).alias("hash"))
     return reports.source_report(listing, table(spark, d, "files"), table(spark, d, "file_occurrences"))
 
 
 def source_report_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Status of each path that was ever seen."""
-    listing = table(spark, d, "file_occurrences").filter("path is not null").groupBy("path").agg(F.max("hash").alias("hash"))
+    listing = table(spark, d, "file_occurrences").filter("path is not null").groupBy("path").agg(F.max(full_hash(F.col("hash"))).alias("hash"))
     return reports.source_report(listing, table(spark, d, "files"), table(spark, d, "file_occurrences"))
 
 

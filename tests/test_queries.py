@@ -23,3 +23,26 @@ def test_query(spark, module, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def tables(spark, folder, **rows):
+    """Writes tables of (schema, rows) into a folder and gives its name."""
+    for name, (shape, data) in rows.items():
+        spark.createDataFrame(data, shape).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("hidden", ["s-" + "b" * 64, "zz broken"])
+def test_full_hash_beside_other_texts(spark, tmp_path, hidden):
+    """A path's valid full hash counts, whatever other texts were recorded for the path."""
+    full, path = "a" * 64, "/in/x.jpg"
+    seen = "path string, file_id long, is_seed boolean, seen_at string, hash string"
+    d = tables(
+        spark, tmp_path,
+        file_records=("orig_path string, hash string", [(path, full), (path, hidden)]),
+        file_occurrences=(seen, [(path, None, False, "2020", full), (path, None, False, "2021", hidden)]),
+        files=("id long, hash string, orig_path string, dest_path string", [(7, full, "/lib/x.jpg", "/out/x.jpg")]),
+    )
+    for name in ("source_report", "source_report_occurrences"):
+        rows = entry.queries()[name](spark, d).collect()
+        assert [(r.path, r.status, r.note) for r in rows] == [(path, "Duplicate", "Duplicate of ID 7 (content_hash)")]
