@@ -55,6 +55,15 @@ def outside(listing: DataFrame, skips: DataFrame, path: str = "path", skip: str
     return listing.join(hit, path, "left_anti")
 
 
+def nested(directories: DataFrame, name: str = "skip_dir") -> DataFrame:
+    """Those of the directories that lie in another of them, by whole components and whatever slashes end them."""
+    bare = directories.filter(F.col(name) != "").select(name, F.regexp_replace(name, "/+$", "").alias("_bare"))
+    parts = F.split("_bare", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    inner = bare.filter(F.col("_bare").contains("/")).withColumn("_above", F.explode(above))
+    return inner.join(bare.select(F.col("_bare").alias("_above")).distinct(), "_above", "left_semi").select(name).distinct()
+
+
 def clean_path(path: Column) -> Column:
     """Outer blanks and quotes off, doubled and trailing slashes and /./ folded; the empty path is '.'."""
     p = F.regexp_replace(path, r"^\s+|\s+$", "")

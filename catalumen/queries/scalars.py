@@ -34,8 +34,9 @@ def clean_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def skip_subtree(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences outside the scan roots that have no zone or lie in another root."""
-    roots = table(spark, d, "scan_roots").filter("time_zone is null or root_id in (3, 9)").select(F.col("root_path").alias("skip_dir"))
-    return paths.outside(table(spark, d, "file_occurrences").select("path", "file_id"), roots)
+    roots = table(spark, d, "scan_roots").select(F.col("root_path").alias("skip_dir"), "time_zone")
+    zoneless = roots.filter("time_zone is null").select("skip_dir")
+    return paths.outside(table(spark, d, "file_occurrences").select("path", "file_id"), zoneless.unionByName(paths.nested(roots.select("skip_dir"))))
 
 
 def _texts(make: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:

@@ -46,3 +46,11 @@ def test_full_hash_beside_other_texts(spark, tmp_path, hidden):
     for name in ("source_report", "source_report_occurrences"):
         rows = entry.queries()[name](spark, d).collect()
         assert [(r.path, r.status, r.note) for r in rows] == [(path, "Duplicate", "Duplicate of ID 7 (content_hash)")]
+
+
+def test_nested_roots_are_found_by_path(spark, tmp_path):
+    roots = [(1, "/r", "UTC"), (2, "/r/in/", "UTC"), (3, "/s", "UTC"), (4, "/r2", "UTC"), (5, "E:/x", "UTC"), (6, "E:/x/y", "UTC"), (7, "/none", None), (9, "/s/", "UTC"), (10, None, "UTC"), (11, "", "UTC")]
+    kept = ["/r/a.jpg", "/r/inner/a.jpg", "/s/a.jpg", "/r2/a.jpg", "E:/x/a.jpg", "/q/a.jpg"]
+    skipped = ["/r/in/a.jpg", "/r/in", "E:/x/y/a.jpg", "/none/b/a.jpg"]
+    d = tables(spark, tmp_path, scan_roots=("root_id int, root_path string, time_zone string", roots), file_occurrences=("path string, file_id long", [(p, 1) for p in kept + skipped]))
+    assert sorted(r.path for r in entry.queries()["skip_subtree"](spark, d).collect()) == sorted(kept)
