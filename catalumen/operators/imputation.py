@@ -97,13 +97,20 @@ def _options(models: str) -> Column:
     return F.transform(models, lambda m: F.struct(m.alias("value"), bucket(m).alias("bucket")))
 
 
-def fill(rows: DataFrame, whole: bool = False) -> DataFrame:
+def _in_use(have: DataFrame, category: str, value: str) -> Column:
+    """Array of a category's values in use: of those that share a bucket, which the model can't tell apart, the most common."""
+    common = have.filter(F.col(category).isNotNull()).groupBy(category, value).agg(F.count(F.lit(1)).alias("n")).groupBy(category).agg(F.max(F.struct("n", value)).alias("m"))
+    every = sorted(r[0] for r in common.select(f"m.{value}").collect())  # at most BUCKETS rows
+    return F.array(*map(F.lit, every)).cast("array<string>")
+
+
+def fill(rows: DataFrame, whole: bool = False, lenses: bool = False) -> DataFrame:
     """(file_id, field, filled, source, choices) of all filled cells; choices counts the admissible values.
 
     A low-rank model of all records' mixed cells scores each missing model's admissible values and decodes the best. rows: cells(), cut.
     A cell with one admissible value can only be decoded to that; with several (nearest records that disagree) the
     model chooses. With `whole`, cells without admissible values are decoded over all models in use (source model),
-    and missing sizes and durations are predicted.
+    and missing sizes and durations are predicted. With `lenses`, missing lenses are decoded over all lenses in use.
     """
     have = cut(features(spread(rows)))  # every round reads it
     model = LowRank(CATEGORIES, NUMBERS).fit(have)
@@ -113,15 +120,17 @@ def fill(rows: DataFrame, whole: bool = False) -> DataFrame:
     same = [lacking[c].eqNullSafe(choices[c]) for c in inputs]
     cells_ = lacking.join(choices, same, "left").select(*(lacking[c] for c in ["file_id", *CATEGORIES, *NUMBERS]), "models", "source")
     if whole:
-        common = have.filter("camera is not null").groupBy("model", "camera").agg(F.count(F.lit(1)).alias("n")).groupBy("model").agg(F.max(F.struct("n", "camera")).alias("m"))
-        every = sorted(r[0] for r in common.select("m.camera").collect())  # at most BUCKETS rows
-        cells_ = cells_.withColumns({"models": F.coalesce("models", F.array(*map(F.lit, every)).cast("array<string>")), "source": F.coalesce("source", F.lit("model"))})
+        cells_ = cells_.withColumns({"models": F.coalesce("models", _in_use(have, "model", "camera")), "source": F.coalesce("source", F.lit("model"))})
     else:
         cells_ = cells_.filter("models is not null")
     asked = cells_.select("file_id", "source", *CATEGORIES, *NUMBERS, _options("models").alias("choices"))
     filled = model.decode(asked, "model", ["file_id", "source"]).filter("value is not null")
     out = filled.select("file_id", F.lit("camera_model").alias("field"), F.col("value").alias("filled"), "source", "choices")
     out = out.unionByName(shot_times(have).select("file_id", F.lit("capture_datetime").alias("field"), "filled", F.lit("shot").alias("source"), F.lit(1).alias("choices")))
+    if lenses:
+        bare = have.filter("lens is null").select("file_id", *CATEGORIES, *NUMBERS).distinct().withColumn("lenses", _in_use(have, "lens", "lens_name"))
+        told = model.decode(bare.select("file_id", *CATEGORIES, *NUMBERS, _options("lenses").alias("choices")), "lens", ["file_id"]).filter("value is not null")
+        out = out.unionByName(told.select("file_id", F.lit("lens_model").alias("field"), F.col("value").alias("filled"), F.lit("model").alias("source"), "choices"))
     if whole:
         inverse = {"aspect": lambda c: c, "pixels": F.exp, "duration": F.expm1}
         for number, back in inverse.items():
@@ -145,8 +154,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All missing cells filled, each marked with where its value comes from."""
-    return fill(_rows(spark, sf_dir), whole=True).select("file_id", "field", "filled", "source").distinct()
+    """Missing cells filled, each marked with where its value comes from (folder, time, shot, model).
+
+    Of records with a usable path: aspect_ratio, pixels and duration_sec; camera_model and lens_model, if any record has
+    one; capture_datetime where the same shot has a dated record, else it stays missing. Where no rule gives models, and
+    for lenses, only the most common value of each bucket of the encoding is decoded.
+    """
+    return fill(_rows(spark, sf_dir), whole=True, lenses=True).select("file_id", "field", "filled", "source").distinct()
 
 
 QUERIES = {"p6_found": p6_found, "p6_imputed": p6_imputed}
