@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +18,27 @@ BROADCAST_ROWS = 10_000
 
 
 def build_session(app: str = "catalumen", cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings that the operators are written for."""
+    """A session with the settings that the operators are written for; conf goes over them.
+
+    Under spark-submit, or with another master in conf, only those settings are made that any cluster needs: memory,
+    cores, shuffle partitions and the shared folder stay the cluster's own. Else it is a local session.
+    """
     settings = {
-        "spark.master": f"local[{cpus}]",
-        "spark.driver.memory": "12g",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-    } | conf
-    spark = SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    if not submitted and conf.get("spark.master", "local").startswith("local"):
+        settings |= {
+            "spark.master": f"local[{cpus}]",
+            "spark.driver.memory": "12g",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        }
+    spark = SparkSession.builder.appName(app).config(map=settings | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     return spark
@@ -83,8 +95,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scan_partitions(df: DataFrame) -> int:
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+#: Plan nodes that cost more than reading and projecting rows: fixed names of Spark's logical plans.
+_COSTLY = re.compile(r"\b(Join|Aggregate|Window|MapInPandas|MapInArrow|FlatMap\w+|Generate|Sort|Distinct|Deduplicate|Repartition\w*|RebalancePartitions)\b")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df itself where it only reads and projects rows, else its checkpoint: for plans that are read several times."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut(df) if _COSTLY.search(plan) else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -93,9 +117,13 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartitions a scan with fewer splits than cores, so that Python work on it uses all of them."""
+    """Repartitions a scan with fewer splits than cores, so that Python work on it uses all of them.
+
+    A plan that does more than to read and project is cut first: its number of partitions is known only once it ran.
+    """
+    df = settled(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if scan_partitions(df) >= cores else df.repartition(cores)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -103,24 +131,70 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.002) -> DataFrame:
+#: A key is hot with more than this share of its side's rows: at most 1 / HOT keys are, whatever the data.
+HOT = 0.002
+
+
+def hot_hashes(df: DataFrame, on: list[str], share: float = HOT, least: int = 1000) -> list[int]:
+    """64-bit hashes of the keys that hold more than `share` of df's rows and more than `least`; null keys don't count.
+
+    One pass with a mergeable sketch of frequent items of fixed size, which misses no key above the share: nothing is
+    shuffled but the tasks' sketches.
+    """
+    sketch = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {int(1 / share)}, {int(20 / share)})")
+    told = df.na.drop("any", None, on).agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).head()
+    return sorted(r["item"] for r in told["top"] or [] if r["count"] > max(least, int(told["n"] * share)))
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT, hot: list[int] | None = None) -> DataFrame:
     """Joins left with right, in which `on` is unique, without sending a hot key of left to one task.
 
-    Keys with more than `share` of left's rows are at most 1 / share, whatever the data: their rows of right are
-    broadcast. All other keys are joined by shuffle. `how` is inner, left or left_semi.
+    Keys with more than `share` of left's rows are at most 1 / share: their rows of right are broadcast. All other keys
+    are joined by shuffle; rows with a null key, which match nothing, are neither shuffled nor compared. `how` is
+    inner, left or left_semi. hot: the hashes of the hot keys, where hot_hashes() gave them before.
+    """
+    if hot is None:
+        left = settled(left)
+        hot = hot_hashes(left, on, share)
+    there = left.na.drop("any", None, on)
+    if not hot:
+        out = there.join(right, on, how)
+    else:
+        is_hot = F.xxhash64(*on).isin(hot)
+        out = there.filter(~is_hot).join(right, on, how).unionByName(there.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on, how))
+    if how != "left":
+        return out
+    added = [f for f in right.schema if f.name not in on]
+    lost = left.filter(reduce(or_, (F.col(c).isNull() for c in on)))
+    return out.unionByName(lost.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in added)))
+
+
+def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, rows: int = 2_000) -> DataFrame:
+    """Inner join of two sides that both may have hot keys: every pair comes out once, no task gets a key as a whole.
+
+    Keys with more than `rows` rows on a side that are hot there are cut into blocks by the hash of the side's id; each
+    block meets each block of the other side as a key of its own. All other keys are joined by shuffle.
     """
-    spark = left.sparkSession
-    total = left.count()
-    least = max(1000, int(total * share))
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*on)
-    keys = [tuple(r) for r in hot.filter(F.col(on[0]).isNotNull()).limit(int(1 / share) + 1).collect()]
-    if not keys:
-        return left.join(right, on, how)
-    schema = left.select(*on).schema
-    hot_keys = F.broadcast(spark.createDataFrame(keys, schema))
-    hot_right = F.broadcast(right.join(hot_keys, on, "left_semi"))
-    warm = left.join(hot_keys, on, "left_semi").join(hot_right, on, how)
-    return left.join(hot_keys, on, "left_anti").join(right, on, how).unionByName(warm)
+    left, right = settled(left), settled(right)
+    hot = sorted({*hot_hashes(left, on, least=rows), *hot_hashes(right, on, least=rows)})
+    a, b = left.na.drop("any", None, on), right.na.drop("any", None, on)
+    if not hot:
+        return a.join(b, on)
+    is_hot = F.xxhash64(*on).isin(hot)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.filter(is_hot).groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    grid = F.broadcast(cut(blocks(a, "_ka").join(blocks(b, "_kb"), on)))  # 2 / HOT rows at most
+
+    def cells(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        met = df.filter(is_hot).join(grid, on)
+        mine = F.pmod(F.xxhash64(key, F.lit(7)), F.col("_k" + own)).cast("int").alias("_" + own)
+        return met.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.col("_k" + other) - 1)).alias("_" + other))
+
+    warm = cells(a, left_id, "a", "b").join(cells(b, right_id, "b", "a"), [*on, "_a", "_b"]).drop("_a", "_b")
+    cold = a.filter(~is_hot).join(b.filter(~is_hot), on)
+    return cold.unionByName(warm)
 
 
 def blank(column: Column | str) -> Column:
