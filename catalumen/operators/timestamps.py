@@ -144,7 +144,7 @@ def fit_mixtures(counts: DataFrame, prior: list[float] = PRIOR, rounds: int = 10
     return counts.groupBy("source").applyInPandas(fit, "source long, mask int, posterior array<double>")
 
 
-def normalise(media: DataFrame, files: DataFrame, roots: DataFrame, text: str = "capture_datetime", keep: tuple[str, ...] = (), formats: list[str] = DECLARED, sure: float = 0.99) -> DataFrame:
+def normalise(media: DataFrame, files: DataFrame, roots: DataFrame, text: str = "capture_datetime", keep: tuple[str, ...] = (), formats: list[str] = DECLARED, sure: float = 0.99, prior: list[float] = PRIOR) -> DataFrame:
     """Distinct (file_id, text, keep...) with orig_path, format, posterior, ambiguous, zone_from and seconds.
 
     A source is a scan root. Of the formats that may be used (`formats`: the declared orders of day and month), the one
@@ -161,7 +161,7 @@ def normalise(media: DataFrame, files: DataFrame, roots: DataFrame, text: str =
     rows = candidates(rows, "text", zone_ids(spark)).withColumn("source", F.coalesce(F.col("root_id").cast("long"), F.lit(-1)))
     mask = sum((F.get("readings", k).isNotNull().cast("int") * (1 << k) for k in range(len(FORMATS))), F.lit(0))
     rows = cut(rows.withColumn("mask", mask.cast("int")).drop("root_id", "root_zone"))
-    fitted = fit_mixtures(rows.filter("mask > 0").groupBy("source", "mask").agg(F.count(F.lit(1)).alias("n")))
+    fitted = fit_mixtures(rows.filter("mask > 0").groupBy("source", "mask").agg(F.count(F.lit(1)).alias("n")), prior)
     # at most (roots + 1) * 2 ** len(FORMATS) rows: broadcast where the roots are few enough for that to be small
     allowed = F.array(*(F.lit(1.0 if f in formats else 0.0) for f in FORMATS))
     usable = F.zip_with("posterior", allowed, lambda x, y: x * y)
@@ -183,13 +183,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter("seconds is not null").select("file_id", utc_text(F.col("seconds")).alias("captured_utc")).distinct()
 
 
+def swap_orders(media: DataFrame, files: DataFrame, roots: DataFrame, text: str = "capture_datetime") -> DataFrame:
+    """media with day and month swapped in all dotted and slashed dates of every second scan root (odd root_id).
+
+    Makes sources of either order whose true instants are known: those of the texts before. Other texts, and those of
+    files without a root, stay as they are.
+    """
+    paths = files.select(F.col("id").alias("file_id"), "orig_path")
+    rows = with_root(media.join(paths, "file_id", "left"), "orig_path", roots)
+    turned = F.regexp_replace(F.col(text), r"^(\s*(?:UTC )?)(\d{1,2})([./])(\d{1,2})\3(\d{4})", "$1$4$3$2$3$5")
+    return rows.withColumn(text, F.when(F.col("root_id") % 2 == 1, turned).otherwise(F.col(text))).select(*media.columns)
+
+
+def p3_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p3_found, read from tables in which every second scan root writes its dates in the other order.
+
+    No order is declared here: posteriors alone choose between day first and month first, per source, so that the
+    rows are right only where expectation-maximisation found each source's order. Texts of sources whose other texts
+    don't tell are read by the first format in order of FORMATS among equals. Nulls and empty tables as in p3_found.
+    """
+    media, files, roots = (table(spark, sf_dir, t) for t in ("media_metadata", "files", "scan_roots"))
+    read = normalise(swap_orders(media, files, roots), files, roots, formats=FORMATS, prior=[1.0] * len(FORMATS))
+    return read.filter("seconds is not null").select("file_id", utc_text(F.col("seconds")).alias("captured_utc")).distinct()
+
+
 def p3_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct text of a file with its reading, the reading's posterior and whether it stays ambiguous."""
     read = normalise(table(spark, sf_dir, "media_metadata"), table(spark, sf_dir, "files"), table(spark, sf_dir, "scan_roots"))
     return read.select("file_id", "text", "format", F.round("posterior", 6).alias("posterior"), "ambiguous", "zone_from", utc_text(F.col("seconds")).alias("captured_utc"))
 
 
-QUERIES: dict[str, Callable] = {"p3_found": p3_found, "p3_readings": p3_readings}
+QUERIES: dict[str, Callable] = {"p3_found": p3_found, "p3_orders": p3_orders, "p3_readings": p3_readings}
 
 READ_SQL = r"""
 root_of AS (SELECT f.id, arg_max(coalesce(r.time_zone, ''), length(rtrim(r.root_path, '/'))) AS root_zone
@@ -211,4 +235,6 @@ read AS (SELECT * EXCLUDE (at_), CASE WHEN s >= 631152000 THEN s END AS seconds
 #: ICU reads an hour that occurs twice as the later instant: the earlier one is taken where it shows the same time.
 SQL: dict[str, str] = {
     "p3_found": f"WITH {READ_SQL} SELECT DISTINCT file_id, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_utc FROM read WHERE seconds IS NOT NULL",
+    # the same instants: the order of each source is recovered
+    "p3_orders": f"WITH {READ_SQL} SELECT DISTINCT file_id, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_utc FROM read WHERE seconds IS NOT NULL",
 }
