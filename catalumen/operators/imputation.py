@@ -11,9 +11,14 @@ from catalumen.runtime import blank, cut, skew_join, spread, table
 
 #: Seconds from a record within which another may lend it a camera model.
 NEAR = 600
-#: Categorical and numeric features of the low-rank model.
-CATEGORIES = ["model", "lens", "folder", "frame", "kind"]
+#: Categorical and numeric features of the low-rank model. Models and lenses are encoded twice, independently.
+MODEL, LENS = ["model", "model2"], ["lens", "lens2"]
+CATEGORIES = [*MODEL, *LENS, "tree", "frame", "kind"]
 NUMBERS = ["aspect", "pixels", "duration"]
+#: Values that are scored, and held by a task, at once.
+VALUES = 20_000
+#: Leading components of a path that make its tree, a feature of far fewer values than folders.
+TREE = 4
 
 
 def read_model(column: Column) -> Column:
@@ -40,11 +45,14 @@ def cells(media: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
 def features(rows: DataFrame) -> DataFrame:
     """Adds the encoded cells: buckets of categories, and numbers on a log scale where they span magnitudes."""
     sized = (F.col("width") > 0) & (F.col("height") > 0)
+    lens = F.when(~blank("lens_name"), F.col("lens_name"))
     return rows.withColumns(
         {
             "model": bucket(F.col("camera")),
-            "lens": bucket(F.when(~blank("lens_name"), F.col("lens_name"))),
-            "folder": bucket(F.col("folder_path")),
+            "model2": bucket(F.col("camera"), 1),
+            "lens": bucket(lens),
+            "lens2": bucket(lens, 1),
+            "tree": bucket(F.substring_index("folder_path", "/", TREE)),
             "frame": bucket(F.when(sized, F.concat_ws("x", F.greatest("width", "height"), F.least("width", "height")))),
             "kind": bucket(F.col("ext")),
             "aspect": F.when(sized, F.col("width") / F.col("height")),
@@ -97,73 +105,121 @@ def _options(models: str) -> Column:
     return F.transform(models, lambda m: F.struct(m.alias("value"), bucket(m).alias("bucket")))
 
 
-def _in_use(have: DataFrame, category: str, value: str) -> Column:
-    """Array of a category's values in use: of those that share a bucket, which the model can't tell apart, the most common."""
-    common = have.filter(F.col(category).isNotNull()).groupBy(category, value).agg(F.count(F.lit(1)).alias("n")).groupBy(category).agg(F.max(F.struct("n", value)).alias("m"))
-    every = sorted(r[0] for r in common.select(f"m.{value}").collect())  # at most BUCKETS rows
-    return F.array(*map(F.lit, every)).cast("array<string>")
+def decode_in_use(model: LowRank, cells_: DataFrame, have: DataFrame, value: str, encodings: list[str], keep: list[str]) -> DataFrame:
+    """keep..., value: the best of all values in use (column `value` of have) for each cell, none of them left out.
+
+    The distinct values go to the tasks in blocks of about VALUES; with more than one block each cell keeps its best.
+    """
+    every = cut(have.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), *(bucket(F.col(value), i).alias(f"b{i}") for i in range(len(encodings)))).distinct())
+    blocks = -(-every.count() // VALUES)
+    spark = have.sparkSession
+    if not blocks:
+        return spark.createDataFrame([], cells_.select(*keep).schema.add("value", "string"))
+    told = None
+    for i in range(blocks):
+        part = every.filter(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(blocks)) == i).collect()  # about VALUES rows
+        if part:
+            one = model.decode_among(cells_, encodings, [tuple(r) for r in part], keep)
+            told = one if told is None else told.unionByName(one)
+    if blocks > 1:
+        told = told.groupBy(*keep).agg(F.min_by("value", F.struct(-F.col("score"), "value")).alias("value"))
+    return told.select(*keep, "value")
+
+
+def _cells(rows: DataFrame, field: str, value: str | Column, source: str | Column, choices: int | Column) -> DataFrame:
+    given = [F.lit(x) if isinstance(x, str | int) else x for x in (source, choices)]
+    return rows.select("file_id", F.lit(field).alias("field"), (F.col(value) if isinstance(value, str) else value).alias("filled"), given[0].alias("source"), given[1].alias("choices"))
+
+
+def forced(choices: DataFrame, rows: DataFrame) -> DataFrame:
+    """(file_id, field, filled, source, choices) of the cells that have exactly one admissible value: no model is asked."""
+    one = _cells(choices.filter(F.size("models") == 1), "camera_model", F.get("models", F.lit(0)), F.col("source"), 1)
+    return one.unionByName(_cells(shot_times(rows), "capture_datetime", "filled", "shot", 1))
 
 
 def fill(rows: DataFrame, whole: bool = False, lenses: bool = False) -> DataFrame:
-    """(file_id, field, filled, source, choices) of all filled cells; choices counts the admissible values.
+    """(file_id, field, filled, source, choices) of all filled cells; choices counts the admissible values, 0 for all in use.
 
-    A low-rank model of all records' mixed cells scores each missing model's admissible values and decodes the best. rows: cells(), cut.
-    A cell with one admissible value can only be decoded to that; with several (nearest records that disagree) the
-    model chooses. With `whole`, cells without admissible values are decoded over all models in use (source model),
-    and missing sizes and durations are predicted. With `lenses`, missing lenses are decoded over all lenses in use.
+    Cells with one admissible value have it. A low-rank model of all records' mixed cells decodes the others: among the
+    models of the nearest records where these disagree; with `whole`, cells without admissible values among all models in
+    use (source model), and missing sizes and durations are predicted. With `lenses`, missing lenses are decoded among all
+    lenses in use. rows: cells(), cut.
     """
     have = cut(features(spread(rows)))  # every round reads it
+    choices = cut(folder_choices(have))
+    out = forced(choices, have)
+    open_ = choices.filter(F.size("models") > 1)
+    if not whole and not lenses and open_.isEmpty():
+        return out
     model = LowRank(CATEGORIES, NUMBERS).fit(have)
+    encoded = [*CATEGORIES, *NUMBERS]
     inputs = ["file_id", "folder_path", "seconds"]
     lacking = have.filter("camera is null").dropDuplicates(inputs)
-    choices = folder_choices(have)
-    same = [lacking[c].eqNullSafe(choices[c]) for c in inputs]
-    cells_ = lacking.join(choices, same, "left").select(*(lacking[c] for c in ["file_id", *CATEGORIES, *NUMBERS]), "models", "source")
+    same = lambda other: [lacking[c].eqNullSafe(other[c]) for c in inputs]
+    asked = lacking.join(open_, same(open_)).select(lacking["file_id"], *(lacking[c] for c in encoded), "source", _options("models").alias("choices"))
+    out = out.unionByName(_cells(model.decode(asked, "model", ["file_id", "source"]), "camera_model", "value", F.col("source"), F.col("choices")))
     if whole:
-        cells_ = cells_.withColumns({"models": F.coalesce("models", _in_use(have, "model", "camera")), "source": F.coalesce("source", F.lit("model"))})
-    else:
-        cells_ = cells_.filter("models is not null")
-    asked = cells_.select("file_id", "source", *CATEGORIES, *NUMBERS, _options("models").alias("choices"))
-    filled = model.decode(asked, "model", ["file_id", "source"]).filter("value is not null")
-    out = filled.select("file_id", F.lit("camera_model").alias("field"), F.col("value").alias("filled"), "source", "choices")
-    out = out.unionByName(shot_times(have).select("file_id", F.lit("capture_datetime").alias("field"), "filled", F.lit("shot").alias("source"), F.lit(1).alias("choices")))
+        rest = lacking.join(choices, same(choices), "left_anti").select("file_id", *encoded).distinct()
+        out = out.unionByName(_cells(decode_in_use(model, rest, have, "camera", MODEL, ["file_id"]), "camera_model", "value", "model", 0))
     if lenses:
-        bare = have.filter("lens is null").select("file_id", *CATEGORIES, *NUMBERS).distinct().withColumn("lenses", _in_use(have, "lens", "lens_name"))
-        told = model.decode(bare.select("file_id", *CATEGORIES, *NUMBERS, _options("lenses").alias("choices")), "lens", ["file_id"]).filter("value is not null")
-        out = out.unionByName(told.select("file_id", F.lit("lens_model").alias("field"), F.col("value").alias("filled"), F.lit("model").alias("source"), "choices"))
+        bare = have.filter("lens is null").select("file_id", *encoded).distinct()
+        out = out.unionByName(_cells(decode_in_use(model, bare, have.withColumn("lens_name", F.when(F.col("lens").isNotNull(), F.col("lens_name"))), "lens_name", LENS, ["file_id"]), "lens_model", "value", "model", 0))
     if whole:
         inverse = {"aspect": lambda c: c, "pixels": F.exp, "duration": F.expm1}
+        names = {"aspect": "aspect_ratio", "pixels": "pixels", "duration": "duration_sec"}
         for number, back in inverse.items():
             lacks = have.filter(F.col(number).isNull()).dropDuplicates(["file_id", *CATEGORIES])
-            told = model.predict(lacks.select("file_id", *CATEGORIES, *NUMBERS), number, ["file_id"])
-            out = out.unionByName(told.select("file_id", F.lit({"aspect": "aspect_ratio", "pixels": "pixels", "duration": "duration_sec"}[number]).alias("field"), F.round(back(F.col("value")), 3).cast("string").alias("filled"), F.lit("model").alias("source"), F.lit(0).alias("choices")))
+            told = model.predict(lacks.select("file_id", *encoded), number, ["file_id"])
+            out = out.unionByName(_cells(told, names[number], F.round(back(F.col("value")), 3).cast("string"), "model", 0))
     return out
 
 
+def held_out(rows: DataFrame, every: int = 10) -> DataFrame:
+    """(source, cells, right, accuracy): known models of one file in `every` (by a hash of file_id) are hidden and filled
+    again, by the rules where these force a value or leave a choice (folder, time), by the low-rank model alone else
+    (model). One row more (model alone) decodes all hidden cells over all models in use. rows: cells(), cut."""
+    hide = F.pmod(F.xxhash64("file_id", F.lit(3)), F.lit(every)) == 0
+    truth = rows.filter(hide & F.col("camera").isNotNull()).groupBy("file_id").agg(F.min("camera").alias("camera"), F.max("camera").alias("other")).filter("camera = other")
+    masked = cut(rows.withColumn("camera", F.when(~hide, F.col("camera"))))
+    filled = fill(masked, whole=True).filter("field = 'camera_model'").select("file_id", "filled", "source")
+    have = cut(features(spread(masked)))
+    lacking = have.filter("camera is null").select("file_id", *CATEGORIES, *NUMBERS).distinct()
+    alone = decode_in_use(LowRank(CATEGORIES, NUMBERS).fit(have), lacking, have, "camera", MODEL, ["file_id"])
+    filled = filled.unionByName(alone.select("file_id", F.col("value").alias("filled"), F.lit("model alone").alias("source")))
+    met = filled.distinct().join(truth, "file_id").groupBy("source").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("filled") == F.col("camera")).alias("right"))
+    return met.withColumn("accuracy", F.col("right") / F.col("cells"))
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(cells(table(spark, sf_dir, "media_metadata"), table(spark, sf_dir, "files"), table(spark, sf_dir, "scan_roots")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filled cells with one admissible value.
+    """Filled cells with one admissible value. These follow from rules, so that no model is fitted for them.
 
     Nulls in any column are unknown cells; records without a usable path take no part; repeated records count once;
     ties in time must agree; empty tables give no rows; other columns are ignored.
     """
-    return fill(_rows(spark, sf_dir)).filter("choices = 1").select("file_id", "field", "filled").distinct()
+    rows = _rows(spark, sf_dir)
+    return forced(folder_choices(rows), rows).select("file_id", "field", "filled").distinct()
 
 
 def p6_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing cells filled, each marked with where its value comes from (folder, time, shot, model).
 
     Of records with a usable path: aspect_ratio, pixels and duration_sec; camera_model and lens_model, if any record has
-    one; capture_datetime where the same shot has a dated record, else it stays missing. Where no rule gives models, and
-    for lenses, only the most common value of each bucket of the encoding is decoded.
+    one, decoded among all values in use where no rule gives models; capture_datetime where the same shot has a dated
+    record, else it stays missing.
     """
     return fill(_rows(spark, sf_dir), whole=True, lenses=True).select("file_id", "field", "filled", "source").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_imputed": p6_imputed}
+def p6_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many hidden camera models come back right, by the way they were filled."""
+    return held_out(_rows(spark, sf_dir))
+
+
+QUERIES = {"p6_found": p6_found, "p6_imputed": p6_imputed, "p6_accuracy": p6_accuracy}
 SQL = {
     "p6_found": f"""WITH {READ_SQL},
 c AS (SELECT r.file_id, CASE WHEN contains(orig_path, '/') THEN regexp_replace(orig_path, '/[^/]*$', '') ELSE '' END AS folder, lower(regexp_extract(orig_path, '[^/]*$', 0)) AS n, seconds,
