@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions.fingerprints import sparse_hash
-from catalumen.runtime import table
+from catalumen.llm.history import signature
+from catalumen.runtime import shared_dir, shared_table, table
 
 #: Bits of a stored remainder.
 REMAINDER_BITS = 32
-#: Keys of the history for which one shard is planned.
-SHARD_KEYS = 250_000
+#: Keys of the history for which one shard is planned, and shards at least: fixed, so that a stored filter fits any cluster.
+SHARD_KEYS = 1_000_000
+LEAST_SHARDS = 16
+#: Raised when stored filters of older code can't be read by this one.
+FORM = 1
 #: Rows that a task reduces at once before it sends anything.
 LOCAL_ROWS = 2_000_000
 
@@ -93,15 +97,42 @@ class QuotientFilter:
         return found
 
     def pack(self) -> bytes:
+        """Remainders, and the quotients of their sorted words as gaps of one to nine bytes: in proportion to the keys,
+        however many quotients are empty. The bitmaps are made again by unpack()."""
+        words = self.keys() >> np.uint64(self.r)
+        gaps = np.diff(words, prepend=np.uint64(0))
         head = np.array([self.q, self.r, len(self)], dtype=np.int64)
-        return head.tobytes() + self.occupied.tobytes() + self.run_ends.tobytes() + self.remainders.tobytes()
+        return head.tobytes() + self.remainders.tobytes() + varints(gaps)
 
     @staticmethod
     def unpack(blob: bytes) -> QuotientFilter:
         q, r, n = np.frombuffer(blob, np.int64, 3).tolist()
-        kind = np.uint8 if r <= 8 else np.uint16 if r <= 16 else np.uint32
-        a, b = 24 + ((1 << q) + 7) // 8, 24 + ((1 << q) + 7) // 8 + (n + 7) // 8
-        return QuotientFilter(q, r, np.frombuffer(blob, np.uint8, a - 24, 24), np.frombuffer(blob, np.uint8, b - a, a), np.frombuffer(blob, kind, n, b))
+        kind = np.dtype(np.uint8 if r <= 8 else np.uint16 if r <= 16 else np.uint32)
+        remainders = np.frombuffer(blob, kind, n, 24)
+        quotients = np.cumsum(read_varints(np.frombuffer(blob, np.uint8, offset=24 + n * kind.itemsize)), dtype=np.uint64)
+        return QuotientFilter._of_sorted((quotients << np.uint64(r)) | remainders.astype(np.uint64), q, r)
+
+
+def varints(values: np.ndarray) -> bytes:
+    """uint64 values as bytes of 7 bits, low ones first; the high bit of a byte says that more follow."""
+    size = np.ones(len(values), dtype=np.int64)
+    for k in range(1, 10):
+        size += values >= np.uint64(1 << (7 * k)) if 7 * k < 64 else 0
+    out = np.empty(int(size.sum()), dtype=np.uint8)
+    at = np.cumsum(size) - size
+    for k in range(int(size.max(initial=0))):
+        live = size > k
+        more = (size[live] > k + 1).astype(np.uint8) << 7
+        out[at[live] + k] = ((values[live] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def read_varints(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128)
+    begin = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    nth = np.arange(len(data)) - np.repeat(begin, ends - begin + 1)
+    parts = (data & 127).astype(np.uint64) << (7 * nth).astype(np.uint64)
+    return np.add.reduceat(parts, begin) if len(ends) else np.empty(0, np.uint64)
 
 
 @dataclass(frozen=True)
@@ -113,7 +144,7 @@ class Layout:
     r: int = REMAINDER_BITS
 
     @staticmethod
-    def of(keys: int, least_shards: int = 1, r: int = REMAINDER_BITS) -> Layout:
+    def of(keys: int, least_shards: int = LEAST_SHARDS, r: int = REMAINDER_BITS) -> Layout:
         shards = max(least_shards, -(-keys // SHARD_KEYS), 1)
         bits = (shards - 1).bit_length()
         each = max(1, keys >> bits)
@@ -196,8 +227,9 @@ def local_leaders(records: DataFrame, layout: Layout) -> DataFrame:
 def seen_before(history: DataFrame, records: DataFrame, layout: Layout) -> DataFrame:
     """(record_id) of the records whose key is in the history or in a record of smaller id.
 
-    history: key long. records: key long, id long. Keys are 64-bit hashes; null keys must be left out.
-    Memory of a task: one shard's filter, about r + 3 bits for each key of it, and that shard's new keys.
+    history: key long, or filters (shard, filter) as SeenKeys keeps them. records: key long, id long. Keys are 64-bit
+    hashes; null keys must be left out. Memory of a task: one shard's filter, about r + 3 bits for each key of it, and that
+    shard's new keys.
     """
 
     def answer(past: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -213,21 +245,79 @@ def seen_before(history: DataFrame, records: DataFrame, layout: Layout) -> DataF
         yes[1:] |= word[1:] == word[:-1]  # the filter of the records before it would say so
         return pd.DataFrame({"record_id": np.concatenate([i[yes], np.frombuffer(b"".join(new["repeats"]), np.int64)])})
 
-    filters, leaders = history_filters(history, layout), local_leaders(records, layout)
-    return filters.groupBy("shard").cogroup(leaders.groupBy("shard")).applyInPandas(answer, "record_id long")
+    filters = history if "filter" in history.columns else history_filters(history, layout)
+    return filters.groupBy("shard").cogroup(local_leaders(records, layout).groupBy("shard")).applyInPandas(answer, "record_id long")
+
+
+class SeenKeys:
+    """Filters of all keys seen so far, one row a shard, in a folder that all executors share.
+
+    Versions are folders that count once their write is complete; absorb() merges new keys into the newest one's
+    filters and writes the next. Neither earlier keys nor their hashes are read again. The layout is fixed at the start,
+    for as many keys as are expected; more keys make answers wrong more often, as wrong_rate() tells.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, expected: int = 0) -> None:
+        self.spark, self.path = spark, path or shared_table(spark, "seen")
+        jvm = spark.sparkContext._jvm
+        self._hadoop = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._hadoop(self.path))
+        told = [n for n in self._names() if n.startswith("layout-")]
+        if not told:
+            made = Layout.of(expected)
+            told = [f"layout-{FORM}-{made.shard_bits}-{made.q}-{made.r}"]
+            self._fs.mkdirs(self._hadoop(f"{self.path}/{told[0]}"))
+        form, *bits = map(int, told[0].split("-")[1:])
+        if form != FORM:
+            raise ValueError(f"the filters at {self.path} have another form")
+        self.layout = Layout(*bits)
+
+    def _names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self.path)))
+
+    def version(self) -> int:
+        """The newest complete version, 0 without one."""
+        done = [n for n in self._names() if n.startswith("v") and self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS"))]
+        return int(done[-1][1:]) if done else 0
+
+    def filters(self) -> DataFrame:
+        """(shard, filter) of the newest version."""
+        shape = "shard long, filter binary"
+        n = self.version()
+        return self.spark.read.schema(shape).parquet(f"{self.path}/v{n:08d}") if n else self.spark.createDataFrame([], shape)
+
+    def absorb(self, keys: DataFrame) -> None:
+        """Adds keys (key long, without nulls); keys that are there already change nothing."""
+        layout = self.layout
+
+        def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            one = QuotientFilter.merge([QuotientFilter.unpack(x) for x in group["filter"]], layout.q, layout.r)
+            return pd.DataFrame({"shard": [key[0]], "filter": [one.pack()]})
+
+        parts = self.filters().unionByName(history_filters(keys, layout))
+        parts.groupBy("shard").applyInPandas(merge, "shard long, filter binary").write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1:08d}")
+
+    def seen(self, records: DataFrame) -> DataFrame:
+        """(record_id) of the records whose key was absorbed, or is in a record of smaller id."""
+        return seen_before(self.filters(), records, self.layout)
 
 
 def key_of(column: Column) -> Column:
     return F.xxhash64(sparse_hash(column))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Layout, int]:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[SeenKeys, DataFrame, int]:
+    """Filters of the catalogue's keys as the tables are now, made once; the records; and how many rows both have."""
     files, records = table(spark, sf_dir, "files"), table(spark, sf_dir, "file_records")
     counted = sparse_hash(F.col("sparse_hash")).isNotNull()
-    history = files.filter(counted).select(key_of(F.col("sparse_hash")).alias("key"))
     new = records.filter(counted & F.col("record_id").isNotNull()).select(key_of(F.col("sparse_hash")).alias("key"), F.col("record_id").alias("id"))
     stored = files.count() + records.count()
-    return history, new, Layout.of(stored, spark.sparkContext.defaultParallelism), stored
+    where = f"{shared_dir(spark).rstrip('/')}/p5-seen-{FORM}-{signature(spark, f'{sf_dir}/files.parquet', f'{sf_dir}/file_records.parquet')}"
+    keys = SeenKeys(spark, where, stored)
+    if not keys.version():
+        keys.absorb(files.filter(counted).select(key_of(F.col("sparse_hash")).alias("key")))
+    return keys, new, stored
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +325,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Empty tables give no rows; rows repeated as a whole repeat their key; other columns are ignored.
     """
-    history, new, layout, _ = _sides(spark, sf_dir)
-    return seen_before(history, new, layout)
+    keys, new, _ = _sides(spark, sf_dir)
+    return keys.seen(new)
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,25 +334,35 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The exact check finds each hash's first record by a mergeable minimum; it is for this report only.
     """
-    history, new, layout, stored = _sides(spark, sf_dir)
+    keys, new, stored = _sides(spark, sf_dir)
     files, records = table(spark, sf_dir, "files"), table(spark, sf_dir, "file_records")
     h = sparse_hash(F.col("sparse_hash")).alias("h")
     # a hash's non-first records are as many as its records less one, unless the catalogue has it
     past = files.select(h).filter("h is not null").distinct().withColumn("past", F.lit(1))
     per = records.select(h, "record_id").filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     exact = per.join(past, "h", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(F.col("past") == 1, F.col("n")).otherwise(F.col("n") - 1)), F.lit(0)).alias("seen_exact"))
-    told = seen_before(history, new, layout).agg(F.count(F.lit(1)).alias("seen_told"))
+    told = keys.seen(new).agg(F.count(F.lit(1)).alias("seen_told"))
     both = exact.withColumn("seen_told", F.lit(0).cast("long")).unionByName(told.withColumns({"records": F.lit(0).cast("long"), "seen_exact": F.lit(0).cast("long")}))
     one = both.agg(*(F.sum(c).alias(c) for c in ("records", "seen_exact", "seen_told")))
     strange, wrong = F.col("records") - F.col("seen_exact"), F.col("seen_told") - F.col("seen_exact")  # no known key is missed
-    return one.withColumns({"measured_rate": F.when(strange > 0, wrong / strange).otherwise(0.0), "derived_rate": F.lit(layout.wrong_rate(stored))})
+    return one.withColumns({"measured_rate": F.when(strange > 0, wrong / strange).otherwise(0.0), "derived_rate": F.lit(keys.layout.wrong_rate(stored))})
 
 
 QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
 
+_SEEN = r"""
+WITH r AS (SELECT record_id, lower(trim(sparse_hash, E' 	
+')) AS p FROM file_records),
+k AS (SELECT record_id, p, row_number() OVER (PARTITION BY p ORDER BY record_id) AS n FROM r WHERE regexp_full_match(p, 's-[0-9a-f]{64}')),
+s AS (SELECT record_id FROM k WHERE n > 1 OR p IN (SELECT lower(trim(sparse_hash, E' 	
+')) FROM files WHERE sparse_hash IS NOT NULL)),
+t AS (SELECT (SELECT count(*) FROM files) + (SELECT count(*) FROM file_records) AS n),
+b AS (SELECT n, ceil(log2(greatest(""" + str(LEAST_SHARDS) + ", ceil(n / " + str(SHARD_KEYS) + """.0))))::INT AS shard_bits FROM t),
+l AS (SELECT n, shard_bits, least(64 - shard_bits - """ + str(REMAINDER_BITS) + """, greatest(8, 1 + floor(log2(greatest(1, n >> shard_bits)))::INT)) AS q FROM b)
+"""
 SQL = {
-    "p5_found": r"""
-WITH r AS (SELECT record_id, lower(trim(sparse_hash, E' \t\r\n')) AS p FROM file_records),
-k AS (SELECT record_id, p, row_number() OVER (PARTITION BY p ORDER BY record_id) AS n FROM r WHERE regexp_full_match(p, 's-[0-9a-f]{64}'))
-SELECT record_id FROM k WHERE n > 1 OR p IN (SELECT lower(trim(sparse_hash, E' \t\r\n')) FROM files WHERE sparse_hash IS NOT NULL)""",
+    "p5_found": _SEEN + "SELECT record_id FROM s",
+    # no wrong answer is expected: keys * derived rate is far below 1
+    "p5_rates": _SEEN + f"""SELECT (SELECT count(*) FROM k) AS records, (SELECT count(*) FROM s) AS seen_exact, (SELECT count(*) FROM s) AS seen_told,
+ 0.0::DOUBLE AS measured_rate, n / pow(2.0, shard_bits + q + {REMAINDER_BITS}) AS derived_rate FROM l""",
 }
