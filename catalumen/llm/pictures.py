@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.runtime import cut, parallelism, table
+from catalumen.runtime import block_join, cut, parallelism, skew_join, table
 
 #: Most differing bits, and the largest ratio of two shapes.
 BITS, SHAPE = 5, 1.02
@@ -17,8 +17,10 @@ BITS, SHAPE = 5, 1.02
 TREE_ROWS = 200_000
 #: Node pairs expanded at once.
 PAIRS = 1_000_000
-#: Rows of one hash for which one salt is planned.
-SALT_ROWS = 2_000
+#: Rows of a class, or of a hash, that meet others as one block.
+BLOCK_ROWS = 2_000
+#: Pairs of files of two classes up to which these are expanded by plain joins.
+CELL = 10_000
 
 
 def read_phash(column: Column) -> Column:
@@ -192,42 +194,110 @@ def close_hashes(hashes: DataFrame, bits: int = BITS, tree_rows: int = TREE_ROWS
     return sent.groupBy("shard").applyInPandas(join, "ha long, hb long")
 
 
-def same_pictures(media: DataFrame, bits: int = BITS, shape: float = SHAPE, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """(file_id_a, file_id_b), smaller first: files whose hashes and shapes are close, each pair once.
-
-    Close pairs are found among distinct hashes, then joined with the distinct (hash, shape, file) rows; a hash
-    of many files is salted, so that no task holds all its pairs. Rows with a null file, an unusable hash, or a
-    width or height that is null or not above 0 take no part; a file with several rows is close by any of them;
-    repeated rows count once; an empty table gives no rows; other columns are ignored.
-    """
+def picture_rows(media: DataFrame) -> DataFrame:
+    """Distinct (file_id, h, r): hash and shape of the rows that take part, cut."""
     usable = media.filter("file_id is not null and width > 0 and height > 0").select(
         "file_id", read_phash(F.col("phash")).alias("h"), (F.greatest("width", "height").cast("double") / F.least("width", "height")).alias("r")
     )
-    rows = cut(usable.filter("h is not null").distinct())
-    sizes = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    pairs = close_hashes(sizes.select("h"), bits)
-    links = pairs.unionByName(pairs.select(F.col("hb").alias("ha"), F.col("ha").alias("hb"))).unionByName(sizes.filter("n > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb")))
-    # pairs come in both directions, and the smaller file is on the left
-    salts = sizes.select(F.col("h").alias("hb"), F.ceil(F.col("n") / salt_rows).cast("int").alias("k"))
-    spread = links.join(salts, "hb").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    left = rows.select(F.col("h").alias("ha"), F.col("file_id").alias("file_id_a"), F.col("r").alias("ra"))
-    right = rows.join(salts.withColumnRenamed("hb", "h"), "h").select(F.col("h").alias("hb"), F.pmod(F.xxhash64("file_id"), F.col("k")).cast("int").alias("salt"), F.col("file_id").alias("file_id_b"), F.col("r").alias("rb"))
-    return (
-        left.join(spread, "ha")
-        .join(right, ["hb", "salt"])
-        .filter(F.col("file_id_a") < F.col("file_id_b"))
-        .filter(F.greatest("ra", "rb") / F.least("ra", "rb") <= shape)
-        .select("file_id_a", "file_id_b")
-        .distinct()
-    )
+    return cut(usable.filter("h is not null").distinct())
+
+
+def picture_classes(rows: DataFrame) -> DataFrame:
+    """(h, r, files): classes of exact copies by hash and shape, cut. rows: picture_rows()."""
+    return cut(rows.groupBy("h", "r").agg(F.count(F.lit(1)).alias("files")))
+
+
+def class_pairs(classes: DataFrame, bits: int = BITS, shape: float = SHAPE, block: int = BLOCK_ROWS) -> DataFrame:
+    """(ha, ra, hb, rb): pairs of different classes whose hashes and shapes are close, in one direction each.
+
+    Close pairs of hashes come from the prefix-tree join; classes of one hash are close if their shapes are. A hash of
+    very many shapes is joined in blocks.
+    """
+    hashes = classes.select("h").distinct()
+    far = close_hashes(hashes, bits).unionByName(hashes.select(F.col("h").alias("ha"), F.col("h").alias("hb")))
+    left = block_join(far, classes.select(F.col("h").alias("ha"), F.col("r").alias("ra")), ["ha"], "hb", "ra", block)
+    both = block_join(left, classes.select(F.col("h").alias("hb"), F.col("r").alias("rb")), ["hb"], "ha", "rb", block)
+    alike = F.greatest("ra", "rb") / F.least("ra", "rb") <= shape
+    return both.filter(alike & ((F.col("ha") != F.col("hb")) | (F.col("ra") < F.col("rb")))).select("ha", "ra", "hb", "rb")
+
+
+def same_pictures(media: DataFrame, bits: int = BITS, shape: float = SHAPE, salt_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(file_id_a, file_id_b), smaller first: files whose hashes and shapes are close, each pair once.
+
+    Pairs of classes are expanded to their files, on both sides in blocks of salt_rows files, so that no task holds
+    a class as a whole. Rows with a null file, an unusable hash, or a width or height that is null or not above 0
+    take no part; a file with several rows is close by any of them; repeated rows count once; an empty table gives no
+    rows; other columns are ignored.
+    """
+    rows = picture_rows(media)
+    classes = picture_classes(rows)
+    own = classes.filter("files > 1").select(F.col("h").alias("ha"), F.col("r").alias("ra"), F.col("h").alias("hb"), F.col("r").alias("rb"))
+    pairs = class_pairs(classes, bits, shape, salt_rows).unionByName(own)
+    several = rows.groupBy("file_id").agg((F.count(F.lit(1)) > 1).alias("several"))  # only such files meet twice
+    rows = cut(rows.join(several, "file_id"))
+    side = lambda x: rows.select(F.col("h").alias(f"h{x}"), F.col("r").alias(f"r{x}"), F.col("file_id").alias(f"f{x}"), F.col("several").alias(f"s{x}"))
+    size = lambda x: classes.select(F.col("h").alias(f"h{x}"), F.col("r").alias(f"r{x}"), F.col("files").alias(f"n{x}"))
+    sized = cut(skew_join(skew_join(pairs, size("a"), ["ha", "ra"]), size("b"), ["hb", "rb"]))
+    small = F.col("na") * F.col("nb") <= CELL
+    few = sized.filter(small).drop("na", "nb").join(side("a"), ["ha", "ra"]).join(side("b"), ["hb", "rb"])
+    # of larger products each pair of blocks is a key of its own, which both sides are sent to
+    k = lambda x: F.ceil(F.col(f"n{x}") / salt_rows).cast("int")
+    grid = sized.filter(~small).withColumns({"ka": k("a"), "kb": k("b")})
+    grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("kb") - 1))).drop("ka", "kb", "na", "nb")
+
+    def sent(x: str, block: str) -> DataFrame:
+        there = side(x).join(sized.filter(~small).select(f"h{x}", f"r{x}").distinct(), [f"h{x}", f"r{x}"], "left_semi")
+        placed = skew_join(there, size(x), [f"h{x}", f"r{x}"]).withColumn(block, F.pmod(F.xxhash64(f"f{x}", F.lit(5)), k(x)).cast("int")).drop(f"n{x}")
+        return grid.join(placed, [f"h{x}", f"r{x}", block])
+
+    many = sent("a", "i").join(sent("b", "j"), ["ha", "ra", "hb", "rb", "i", "j"]).drop("i", "j")
+    met = few.unionByName(many)
+    told = met.filter("fa <> fb").select(F.least("fa", "fb").alias("file_id_a"), F.greatest("fa", "fb").alias("file_id_b"), "sa", "sb", (F.col("ha") == F.col("hb")).alias("e"), (F.col("ra") == F.col("rb")).alias("q"), F.col("fa").alias("first"))
+    # within one class a pair comes out in both directions: one of them counts
+    told = cut(told.filter("not (e and q) or first = file_id_a").select("file_id_a", "file_id_b", (F.col("sa") | F.col("sb")).alias("twice")))
+    return told.filter("not twice").drop("twice").unionByName(told.filter("twice").drop("twice").distinct())
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_pictures(table(spark, sf_dir, "media_metadata"))
 
 
-QUERIES = {"p1_found": p1_found}
+def _named(x: str) -> list[Column]:
+    """A class's hash and shape as texts and whole numbers: 16 hex digits, and millionths."""
+    return [F.lpad(F.lower(F.hex(f"h{x}")), 16, "0").alias(f"phash{x and '_' + x}"), F.floor(F.col(f"r{x}") * 1_000_000).alias(f"shape{x and '_' + x}")]
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per file and class of exact copies: file_id, phash, shape, the class's files, and links, the number of
+    other classes that it is close to. No pair of files is written, however many files a class has."""
+    rows = picture_rows(table(spark, sf_dir, "media_metadata"))
+    classes = picture_classes(rows)
+    pairs = cut(class_pairs(classes))
+    ends = pairs.select(F.col("ha").alias("h"), F.col("ra").alias("r")).unionByName(pairs.select(F.col("hb").alias("h"), F.col("rb").alias("r")))
+    told = cut(classes.join(ends.groupBy("h", "r").agg(F.count(F.lit(1)).alias("links")), ["h", "r"], "left").fillna(0, ["links"]))
+    return skew_join(rows, told, ["h", "r"]).select("file_id", *_named(""), "files", "links")
+
 
+def p1_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of close classes, the smaller (shape, hash) first; with p1_classes they stand for all pairs of files."""
+    pairs = class_pairs(picture_classes(picture_rows(table(spark, sf_dir, "media_metadata"))))
+    told = pairs.select(F.struct(*_named("a")).alias("x"), F.struct(*_named("b")).alias("y"))
+    one = lambda s, x: F.struct(s[f"shape_{x}"].alias("shape"), s[f"phash_{x}"].alias("phash"))
+    told = told.select(one(F.col("x"), "a").alias("x"), one(F.col("y"), "b").alias("y"))
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return told.select(low["phash"].alias("phash_a"), low["shape"].alias("shape_a"), high["phash"].alias("phash_b"), high["shape"].alias("shape_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_class_pairs": p1_class_pairs}
+
+_CLASSES = r"""
+WITH c AS (SELECT file_id, regexp_replace(lower(regexp_replace(phash, '^\s+|\s+$', '', 'g')), '^0x', '') AS p,
+                  greatest(width, height)::DOUBLE / least(width, height) AS r
+           FROM media_metadata WHERE width > 0 AND height > 0 AND file_id IS NOT NULL),
+h AS (SELECT DISTINCT file_id, r, p, ('0x' || p)::UBIGINT AS v FROM c WHERE regexp_full_match(p, '[0-9a-f]{16}') AND p <> repeat(p[1], 16)),
+k AS (SELECT p, v, r, count(*) AS files FROM h GROUP BY p, v, r),
+x AS (SELECT a.p AS pa, a.r AS ra, b.p AS pb, b.r AS rb FROM k a JOIN k b ON (a.r, a.p) < (b.r, b.p) AND bit_count(xor(a.v, b.v)) <= 5 AND greatest(a.r, b.r) / least(a.r, b.r) <= 1.02)
+"""
 SQL = {
     "p1_found": r"""
 WITH c AS (SELECT file_id, regexp_replace(lower(regexp_replace(phash, '^\s+|\s+$', '', 'g')), '^0x', '') AS p,
@@ -237,4 +307,10 @@ h AS (SELECT DISTINCT file_id, r, ('0x' || p)::UBIGINT AS v FROM c
       WHERE regexp_full_match(p, '[0-9a-f]{16}') AND p <> repeat(p[1], 16))
 SELECT DISTINCT x.file_id AS file_id_a, y.file_id AS file_id_b
 FROM h x JOIN h y ON x.file_id < y.file_id AND bit_count(xor(x.v, y.v)) <= 5 AND greatest(x.r, y.r) / least(x.r, y.r) <= 1.02""",
+    "p1_classes": _CLASSES
+    + """, n AS (SELECT p, r, count(*) AS links FROM (SELECT pa AS p, ra AS r FROM x UNION ALL SELECT pb, rb FROM x) GROUP BY p, r)
+SELECT file_id, h.p AS phash, floor(h.r * 1000000)::BIGINT AS shape, files, coalesce(links, 0) AS links FROM h JOIN k USING (p, r) LEFT JOIN n USING (p, r)""",
+    "p1_class_pairs": _CLASSES
+    + """, y AS (SELECT pa, pb, floor(ra * 1000000)::BIGINT AS sa, floor(rb * 1000000)::BIGINT AS sb FROM x)
+SELECT CASE WHEN (sa, pa) <= (sb, pb) THEN pa ELSE pb END AS phash_a, least(sa, sb) AS shape_a, CASE WHEN (sa, pa) <= (sb, pb) THEN pb ELSE pa END AS phash_b, greatest(sa, sb) AS shape_b FROM y""",
 }

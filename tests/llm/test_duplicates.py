@@ -240,3 +240,13 @@ def test_seen_before(spark, shards):
     got = [x.record_id for x in seen.seen_before(h, r, seen.Layout.of(400, shards)).collect()]
     assert len(got) == len(want) and set(got) == want
     assert seen.seen_before(h.limit(0), r.limit(0), seen.Layout.of(0)).count() == 0
+
+
+def test_pictures_of_one_hash_that_a_third_has(spark, monkeypatch):
+    monkeypatch.setattr(pictures, "CELL", 50)
+    hot, near = "0123456789abcdef", "0123456789abcdee"
+    rng = random.Random(8)
+    rows = [(i, 100, 50, hot if i % 3 == 0 else near if i % 30 == 1 else f"{rng.getrandbits(64):016x}") for i in range(300)]
+    rows += [(3, 100, 50, near), (6, 200, 100, hot), (9, 51, 100, hot)]
+    got = [tuple(r) for r in pictures.same_pictures(spark.createDataFrame(rows, MEDIA), salt_rows=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
