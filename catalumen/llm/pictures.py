@@ -214,7 +214,8 @@ def class_pairs(classes: DataFrame, bits: int = BITS, shape: float = SHAPE, bloc
     very many shapes is joined in blocks.
     """
     hashes = classes.select("h").distinct()
-    far = close_hashes(hashes, bits).unionByName(hashes.select(F.col("h").alias("ha"), F.col("h").alias("hb")))
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    far = close_hashes(hashes, bits).unionByName(several.select(F.col("h").alias("ha"), F.col("h").alias("hb")))
     left = block_join(far, classes.select(F.col("h").alias("ha"), F.col("r").alias("ra")), ["ha"], "hb", "ra", block)
     both = block_join(left, classes.select(F.col("h").alias("hb"), F.col("r").alias("rb")), ["hb"], "ha", "rb", block)
     alike = F.greatest("ra", "rb") / F.least("ra", "rb") <= shape
