@@ -250,12 +250,10 @@ def majority(labels: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, bits: int = SPACE_BITS) -> tuple[np.ndarray, float]:
-    """Fits on at most about `most` labelled documents, in one task; the driver gets the weights that aren't 0."""
+    """Fits on at most `most` labelled documents, those of the least hashes of doc_id, in one task; the driver gets the
+    weights that aren't 0."""
     voted = majority(labels)
-    count = voted.count()
-    # a fixed share by hash, so that the sample has the bound as its mean
-    share = min(1.0, most / max(1, count))
-    sample = voted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # each task sends its least ones only
     rows = documents.select("doc_id", "text").join(sample, "doc_id").filter("text is not null")
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
@@ -289,13 +287,16 @@ def scores(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("do
     count once; repeated rows are each scored; long texts are read whole, by segments; other columns are ignored.
     """
     w, b = train(documents, labels)
-    shared = documents.sparkSession.sparkContext.broadcast((w, b))
+    live = np.flatnonzero(w).astype(np.int32)
+    shared = documents.sparkSession.sparkContext.broadcast((len(w), live, w[live], b))  # few weights aren't 0
     rows = spread(documents.select(*keep, "text"))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
-        weights, bias = shared.value
+        size, live, values, bias = shared.value
+        weights = np.zeros(size, dtype=np.float32)
+        weights[live] = values
         for batch in batches:
             for lo in range(0, len(batch), PORTION):
                 part = batch.iloc[lo : lo + PORTION]

@@ -81,9 +81,10 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return done
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None, seed: int = 42, report: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(use, report). use: doc_id, source, n_tokens, repeats (1 or more) of each document of the mixture.
-    report: source, target_share, max_repeats, docs, available_tokens, used_tokens, actual_share, all sources.
+    report: source, target_share, max_repeats, docs, available_tokens, used_tokens, actual_share, all sources; a pass
+    of its own, left out where it isn't asked for.
 
     Documents of a null source or one without a target aren't used; a target without documents has an actual share
     of 0, and the others keep their proportions. Null and empty texts have no tokens and are used as often as their
@@ -102,19 +103,21 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
         .filter("repeats > 0")
         .select("doc_id", "source", "n_tokens", "repeats")
     )
+    if not report:
+        return use, None
     used = use.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"))
     whole = use.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).head()[0] or 0
     share = F.col("used_tokens") / F.lit(float(whole)) if whole else F.lit(0.0)
-    report = (
+    told = (
         plan.join(used, "source", "left")
         .fillna(0, ["used_tokens"])
         .select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), "docs", F.col("available").alias("available_tokens"), "budget", "used_tokens", share.alias("actual_share"))
     )
-    return use, report
+    return use, told
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), report=False)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from catalumen.runtime import spread, table
@@ -24,7 +26,7 @@ CODES = 1_000_000
 KEPT = 100_000
 
 # code point classes
-LETTER, NUMBER, OTHER, SPACE, WHITE, SHORT2, SHORT3, UNKNOWN = range(8)
+LETTER, NUMBER, OTHER, SPACE, WHITE, SHORT2, SHORT3 = range(7)
 #: White space other than the space: fixed values of the Unicode property White_Space.
 WHITES = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # states after a code point: in a run of a kind, with 1 or 2 code points of a contraction to come, or a piece just closed
@@ -46,34 +48,37 @@ def _transitions() -> np.ndarray:
 TRANSITIONS = _transitions()
 
 
+#: Letters and numbers that Unicode 16 added, first and last code point: fixed values of its character database.
+NEWER = {
+    LETTER: [
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ],
+    NUMBER: [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+#: Versions of Python's Unicode data from which the same table comes out.
+UNICODE = ("15.1.0", "16.0.0")
+
+
 def class_table() -> np.ndarray:
-    """Class of every code point; those that this Python's Unicode data doesn't know yet are UNKNOWN."""
+    """Class of every code point by Unicode 16, whichever of UNICODE this Python knows; with another it is an error."""
+    if unicodedata.unidata_version not in UNICODE:
+        raise RuntimeError(f"the class table needs Unicode data {' or '.join(UNICODE)}, this Python has {unicodedata.unidata_version}")
     t = np.full(0x110000, OTHER, dtype=np.uint8)
     kinds = {"L": LETTER, "N": NUMBER}
     for c in range(0x110000):
         k = unicodedata.category(chr(c))
-        if k == "Cn":
-            t[c] = UNKNOWN
-        elif k[0] in kinds:
+        if k[0] in kinds:
             t[c] = kinds[k[0]]
+    for kind, runs in NEWER.items():
+        for low, high in runs:
+            t[low : high + 1] = kind
     t[WHITES] = WHITE
     t[32] = SPACE
     return t
 
 
-def _newer_class(code: int) -> int:
-    """Class of a code point by the tokenizer library's own, maybe newer, Unicode data."""
-    try:
-        from tokenizers.pre_tokenizers import ByteLevel
-    except ImportError:
-        return OTHER
-    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    for mate, k in (("a", LETTER), ("1", NUMBER)):
-        if len(split(mate + chr(code))) == 1:
-            return k
-    return OTHER
-
-
 def _scan_functions(functions: np.ndarray) -> np.ndarray:
     """functions: (blocks, width, states). The state after each function of each block, from S_CLOSED."""
     blocks, width, k = functions.shape
@@ -113,10 +118,6 @@ def boundaries(codes: np.ndarray, first: np.ndarray, table_: np.ndarray) -> np.n
     """Whether a piece begins at each code point. first: whether a text begins there."""
     n = len(codes)
     c = table_[codes]
-    if (c == UNKNOWN).any():
-        for code in np.unique(codes[c == UNKNOWN]).tolist():
-            table_[code] = _newer_class(code)
-        c = table_[codes]
     # an apostrophe followed by s t m d, or by re ve ll, within the text
     at = np.flatnonzero(codes == 0x27)
     one, two = np.minimum(at + 1, n - 1), np.minimum(at + 2, n - 1)
@@ -144,11 +145,11 @@ def boundaries(codes: np.ndarray, first: np.ndarray, table_: np.ndarray) -> np.n
 class Encoder:
     """Encodes texts by a rank file (lines of base64 token and rank)."""
 
-    def __init__(self, ranks: bytes) -> None:
+    def __init__(self, ranks: bytes, classes: np.ndarray | None = None) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.kept: dict[bytes, tuple[int, ...]] = {}
-        self.classes = class_table()
+        self.classes = class_table() if classes is None else classes
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece: adjacent parts merge in rank order, leftmost first; a heap keeps long pieces n log n."""
@@ -257,14 +258,20 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder_of(ranks: bytes) -> Encoder:
-    """The worker's encoder for a rank file, made once."""
-    key = hash(ranks)
+def encoder_of(vocabulary: tuple[bytes, bytes]) -> Encoder:
+    """The worker's encoder for a rank file and a packed class table, made once."""
+    key = hash(vocabulary)
     if key not in _encoders:
-        _encoders[key] = Encoder(ranks)
+        ranks, classes = vocabulary
+        _encoders[key] = Encoder(ranks, np.frombuffer(zlib.decompress(classes), np.uint8))
     return _encoders[key]
 
 
+def send(spark: SparkSession, ranks: bytes | None = None) -> Broadcast:
+    """A broadcast of the rank file (under 1 MB) and of the driver's class table: all workers class code points alike."""
+    return spark.sparkContext.broadcast((ranks or read_ranks(), zlib.compress(class_table().tobytes())))
+
+
 def read_ranks(folder: str = TOKENIZERS, name: str = VOCABULARY) -> bytes:
     with open(os.path.join(folder, name), "rb") as f:
         return f.read()
@@ -276,7 +283,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     The vocabulary (under 1 MB) is read by the driver and sent once to each worker; texts go through Arrow and
     never leave their task. Null keys and repeated rows are kept as they are; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(ranks or read_ranks())
+    shared = send(documents.sparkSession, ranks)
     rows = spread(documents.select(key, text))
     kind = rows.schema[key].dataType.simpleString()
 
@@ -292,7 +299,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks:
 
 def token_counts(documents: DataFrame, keep: list[str], text: str = "text", ranks: bytes | None = None) -> DataFrame:
     """keep..., n_tokens of each row."""
-    shared = documents.sparkSession.sparkContext.broadcast(ranks or read_ranks())
+    shared = send(documents.sparkSession, ranks)
     rows = spread(documents.select(*keep, text))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -311,7 +318,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of ids, and whether their bytes are its text again, cut at the spans kept."""
-    shared = spark.sparkContext.broadcast(read_ranks())
+    shared = send(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_of(shared.value)

@@ -50,6 +50,19 @@ def test_all_code_points(pair):
     check(pair, ["a".join(chars[i : i + 4000 : 7]) for i in range(0x3500, len(chars) - 4000, 40_000)])
 
 
+@needs_files
+def test_newer_code_points_need_no_library(pair, monkeypatch):
+    chars = [chr(c) for runs in tokens.NEWER.values() for low, high in runs for c in {low, (low + high) // 2, high}]
+    texts = [f"a{c} 1{c} {c}{c}" for c in chars]
+    check(pair, texts)
+    with_library = pair[0].encode(texts)[0].tolist()
+    monkeypatch.setitem(__import__("sys").modules, "tokenizers", None)
+    assert tokens.Encoder(tokens.read_ranks()).encode(texts)[0].tolist() == with_library
+    monkeypatch.setattr(tokens, "UNICODE", ("1.0",))
+    with pytest.raises(RuntimeError, match="Unicode"):
+        tokens.class_table()
+
+
 @needs_files
 def test_scan_is_associative():
     rng = np.random.default_rng(1)
