@@ -53,7 +53,7 @@ def organize(a: argparse.Namespace) -> int:
 
 
 def report(cat: Catalog, a: argparse.Namespace) -> int:
-    if cat.current() is None:
+    if not cat.version():
         print("no catalogue", file=sys.stderr)
         return 1
     records = scan.scan(cat.spark, a.src, force_full=True).select(F.col("orig_path").alias("path"), "hash")

@@ -97,12 +97,12 @@ def metadata_of(media: DataFrame) -> DataFrame:
     return media.filter("file_id is not null").groupBy("file_id").agg(F.max_by(F.struct(*kept), order).alias("m")).select("file_id", "m.*")
 
 
-def assign_ids(contents: DataFrame, existing: DataFrame) -> DataFrame:
+def assign_ids(contents: DataFrame, existing: DataFrame, least: int = 0) -> DataFrame:
     """Adds id: the catalogue's for known contents; new ones go on after the largest id in order of first_seq.
 
-    existing: content, id. Ranks are made per range partition and offset by counts, so that no single task sorts all.
+    existing: content, id. least: the largest id in use, where rows without a content have one too. Ranks are made per range partition and offset by counts, so that no single task sorts all.
     """
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
+    top = max(least, existing.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0])
     known = contents.join(existing.select("content", "id"), "content")
     new = contents.join(existing, "content", "left_anti").repartitionByRange("first_seq").sortWithinPartitions("first_seq").withColumn("_p", F.spark_partition_id())
     counts = new.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.functions.paths import normal_stem, parent, stem, suffix
 from catalumen.functions.times import stamp
-from catalumen.runtime import cut
+from catalumen.runtime import cut, settled, skew_join, split_rank
 
 PRIMARY = ["raw", "video", "tiff"]
 
@@ -44,30 +44,32 @@ def number_names(wanted: DataFrame, taken: DataFrame | None = None, style: str =
     """(id, folder, name): the wanted name, or the first free numbered one, in the given order within each folder.
 
     wanted: id (unique), folder, want and the order columns, without nulls. taken: folder, name. A family is a folder's
-    names that are equal without their numbers; only members of one family can clash. In a family of one wanted name
-    that isn't taken, a row's number is its rank. Families of several names, where a numbered form may be some other
-    row's wanted name, are settled in order, one task per family; unrelated names of a folder never meet in a task.
+    names that are equal without their numbers; only members of one family can clash. Families of one row that aren't
+    taken, nearly all, keep their names without more ado. In a family of one wanted name that isn't taken, a row's number
+    is its rank, which many tasks find where a name is hot. Families of several names, where a numbered form may be some
+    other row's wanted name, are settled in order, one task per family; unrelated names of a folder never meet in a task.
     """
     before, after = style.split("{}")
     number = rf"({_literal(before)}\d+{_literal(after)})+\z"
     family = F.concat(F.regexp_replace(stem(F.col("want")), number, ""), suffix(F.col("want")))
-    rows = wanted.select("id", "folder", "want", *(c for c in order if c != "id")).withColumn("family", family)
-    kinds = rows.groupBy("folder", "family").agg((F.min("want") == F.max("want")).alias("single"))
-    if taken is None:
-        used = None
-        plain = kinds.withColumnRenamed("single", "plain")
-    else:
+    rows = settled(wanted.select("id", "folder", "want", *(c for c in order if c != "id")).withColumn("family", family))
+    every = rows.select("folder", "family", "want", F.lit(0).alias("old"))
+    used = None
+    if taken is not None:
         used = taken.select("folder", F.col("name").alias("want")).filter("folder is not null and want is not null").distinct().withColumn("family", family)
-        met = used.select("folder", "family").distinct().withColumn("met", F.lit(True))
-        plain = kinds.join(met, ["folder", "family"], "left").select("folder", "family", (F.col("single") & F.col("met").isNull()).alias("plain"))
-    marked = cut(rows.join(plain, ["folder", "family"]))
-    rank = F.row_number().over(Window.partitionBy("folder", "want").orderBy(*order)) - 1
+        every = every.unionByName(used.select("folder", "family", "want", F.lit(1).alias("old")))
+    kinds = every.groupBy("folder", "family").agg(F.count(F.lit(1)).alias("n"), F.max("old").alias("met"), (F.min("want") == F.max("want")).alias("single"))
+    clashes = cut(kinds.filter("n > 1").select("folder", "family", (F.col("single") & (F.col("met") == 0)).alias("plain")))
+    marked = cut(skew_join(rows, clashes, ["folder", "family"], "left"))
+    alone = marked.filter("plain is null").select("id", "folder", F.col("want").alias("name"))
+    ranked = split_rank(marked.filter("plain").select("folder", "want", *order), ["folder", "want"], list(order))
+    rank = F.col("rank")
     numbered = F.concat(stem(F.col("want")), F.lit(before), rank.cast("string"), F.lit(after), suffix(F.col("want")))
-    fast = marked.filter("plain").select("id", "folder", F.when(rank == 0, F.col("want")).otherwise(numbered).alias("name"))
+    fast = alone.unionByName(ranked.select("id", "folder", F.when(rank == 0, F.col("want")).otherwise(numbered).alias("name")))
 
     slow = marked.filter("not plain").drop("plain").withColumn("old", F.lit(False))
     if used is not None:
-        slow = slow.unionByName(used.join(slow.select("folder", "family").distinct(), ["folder", "family"], "left_semi").withColumn("old", F.lit(True)), allowMissingColumns=True)
+        slow = slow.unionByName(used.join(clashes.filter("not plain").select("folder", "family"), ["folder", "family"], "left_semi").withColumn("old", F.lit(True)), allowMissingColumns=True)
     sort = list(order)
 
     def settle(g: pd.DataFrame) -> pd.DataFrame:
@@ -125,13 +127,27 @@ def plan_destinations(files: DataFrame, captures: DataFrame, root: str = "/organ
     return named.select("id", F.concat("folder", F.lit("/"), "name").alias("dest_path"))
 
 
-def sidecar_destinations(links: DataFrame, destinations: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """(sidecar_file_id, dest_path): a raw file's destination under the sidecar's extension, of the first raw file."""
+def sidecar_destinations(links: DataFrame, destinations: DataFrame, sidecars: DataFrame, dialect: str = "v2") -> DataFrame:
+    """(sidecar_file_id, dest_path): a raw file's destination under the sidecar's extension, of the first raw file.
+
+    v1 numbers clashes, "_n" in order of the sidecars' ids, among each other and with the destinations that are there;
+    in v2 sidecars of one name share their destination.
+    """
     raws = destinations.select(F.col("id").alias("raw_file_id"), "dest_path").filter("dest_path is not null")
     pairs = links.join(raws, "raw_file_id").join(sidecars.select(F.col("id").alias("sidecar_file_id"), suffix(F.col("orig_name")).alias("ext")), "sidecar_file_id")
     name = F.regexp_extract("dest_path", r"[^/]*\z", 0)
     path = F.concat(parent(F.col("dest_path")), F.lit("/"), stem(name), F.col("ext"))
-    return pairs.groupBy("sidecar_file_id").agg(F.min_by(path, "raw_file_id").alias("dest_path"))
+    first = pairs.groupBy("sidecar_file_id").agg(F.min_by(path, "raw_file_id").alias("dest_path"))
+    if dialect == "v2":
+        return first
+    split = lambda df: df.select("*", parent(F.col("dest_path")).alias("folder"), F.regexp_extract("dest_path", r"[^/]*\z", 0).alias("want"))
+    first = cut(split(first.filter("dest_path is not null").withColumnRenamed("sidecar_file_id", "id")))
+    there = raws.select(F.col("raw_file_id").alias("id"), "dest_path")
+    if "dest_path" in sidecars.columns:
+        there = there.unionByName(sidecars.filter("dest_path is not null").select("id", "dest_path"))
+    taken = split(there.join(first.select("id"), "id", "left_anti")).select("folder", F.col("want").alias("name"))
+    named = number_names(first.select("id", "folder", "want"), taken)
+    return named.select(F.col("id").alias("sidecar_file_id"), F.concat("folder", F.lit("/"), "name").alias("dest_path"))
 
 
 def psd_destinations(psds: DataFrame, links: DataFrame, destinations: DataFrame, dialect: str = "v2") -> DataFrame:

@@ -10,7 +10,7 @@ import zipfile
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows that a table may have to be broadcast as a whole after its count is known.
@@ -160,7 +160,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     if not hot:
         out = there.join(right, on, how)
     else:
-        is_hot = F.xxhash64(*on).isin(hot)
+        is_hot, right = F.xxhash64(*on).isin(hot), settled(right)
         out = there.filter(~is_hot).join(right, on, how).unionByName(there.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on, how))
     if how != "left":
         return out
@@ -197,6 +197,21 @@ def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
     return cold.unionByName(warm)
 
 
+def split_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds each row's rank from 0 within its keys, in an order without ties; a hot key is ranked by many tasks.
+
+    Rows are cut into ranges of (keys, order) and ranked within these; a key that goes on into later ranges, of which
+    each range has one at most, is offset by its rows in the ranges before.
+    """
+    ranged = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    later = cut(counts.withColumn("_before", before).filter("_before is not null").drop("_n"))  # a row per range at most
+    local = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order)) - 1
+    met = ranged.withColumn("_r", local).join(F.broadcast(later), [*keys, "_p"], "left")
+    return met.withColumn(name, (F.col("_r") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)
+
+
 def blank(column: Column | str) -> Column:
     """True for null, empty and all-white text."""
     c = F.col(column) if isinstance(column, str) else column

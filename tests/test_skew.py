@@ -50,3 +50,15 @@ def test_plans_are_cut_only_where_they_cost(spark):
     assert settled(scan) is scan
     again = scan.groupBy("x").count()
     assert settled(again) is not again and spread(again).count() == 10
+
+
+def test_ranks_of_a_hot_key(spark):
+    from catalumen.runtime import split_rank
+
+    df = third(spark, 3000, "i").na.fill({"k": -1})
+    got = split_rank(df, ["k"], ["i"]).collect()
+    want = {}
+    for k, i in sorted((r.k, r.i) for r in got):
+        want.setdefault(k, []).append(i)
+    assert len(got) == 3000 and all(want[r.k][r.rank] == r.i for r in got)
+    assert split_rank(df.limit(0), ["k"], ["i"]).count() == 0
