@@ -7,57 +7,86 @@ import json
 import logging
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.operators import logs, pipeline, reports
-from catalumen.operators.catalog import known_sparse, metadata_of
-from catalumen.runtime import build_session
+from catalumen.operators.catalog import known_sparse, metadata_of, occurrences_last
+from catalumen.runtime import build_session, cut, remove, shared_table
 from catalumen.sources import diagnostics, listing, scan, sinks
 from catalumen.sources.snapshots import Catalog
 
 
+def log_errors(what: DataFrame) -> None:
+    """Logs the paths that couldn't be read, a partition at a time."""
+    for row in what.toLocalIterator():
+        logging.warning("Failed to scan %s: %s", row.path, row.error)
+
+
 def organize(a: argparse.Namespace) -> int:
-    spark = build_session()
+    spark = build_session(cpus=a.max_workers or "*")
     os.makedirs(a.dest, exist_ok=True)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, handlers=[logging.FileHandler(os.path.join(a.dest, "organizer.log")), logging.StreamHandler(sys.stdout)])
     logging.getLogger("py4j").setLevel(logging.WARNING)
     cat = Catalog(spark, a.db or os.path.join(a.dest, "catalog"))
     if a.report:
         return report(cat, a)
+    seen = cat.table("file_occurrences")
+    if a.dialect == "v1" and seen is not None:
+        cat.write({"file_occurrences": seen.limit(0)})  # a log of each run
     for root, seed in [(r, True) for r in a.seed or []] + [(a.src, False)]:
         files, seen = cat.table("files"), cat.table("file_occurrences")
         known = known_sparse(files, seen) if files is not None else None
         skips = listing.skip_list(spark, a.skip_dirs_file, root if a.dialect == "v1" else None) if a.skip_dirs_file else None
-        if a.dialect == "v1":
+        if a.dialect == "v1" and not seed:
             inside = spark.createDataFrame([(os.path.abspath(a.dest),)], "skip_dir string")
             skips = inside if skips is None else skips.unionByName(inside)
         logging.info("scanning %s", root)
-        pipeline.ingest(cat, scan.scan(spark, root, seed, known, skips, a.dialect, a.use_phash), a.dialect)
+        pipeline.ingest(cat, scan.scan(spark, root, seed, known, skips, a.dialect, a.use_phash, errors=log_errors), a.dialect)
     files = cat.table("files")
     refs = scan.embedded_references(spark, files.filter("type = 'psd'"))
     pipeline.link(cat, refs, a.dialect)
     pipeline.plan(cat, os.path.abspath(a.dest), a.dialect)
     files = cat.table("files")
-    moved = sinks.move_files(files, a.move, a.dry_run).persist()
+    # moving is done once, while its result is written; whatever is asked of it then is read back
+    kept = shared_table(spark, "moved")
+    sinks.move_files(files, a.move, a.dry_run).write.parquet(kept)
+    moved = spark.read.parquet(kept)
     for status, n in moved.groupBy("status").count().collect():
         logging.info("%s: %s", status, n)
-    if not a.dry_run:
-        seen = cat.table("file_occurrences")
-        cat.write({"file_occurrences": seen.unionByName(sinks.moved_occurrences(moved, files).select(*seen.columns))})
+    if not a.dry_run and a.dialect == "v2":
+        base = cat.version()
+        seen = cat.table("file_occurrences", base)
+        made = sinks.moved_occurrences(moved, files).select(*seen.columns)
+        cat.write({"file_occurrences": occurrences_last(seen.unionByName(made))}, base=base)
+    remove(spark, kept)
+    if a.dialect == "v1":
+        exports(cat, a.dest)
     if a.copy_report:
         sinks.write_report(reports.copy_report(cat.table("file_occurrences"), files), "copy", a.copy_report)
     return 0
 
 
+def exports(cat: Catalog, dest: str) -> None:
+    """The three reports of a v1 run: raw files without outputs, files of unknown types, layered documents without source."""
+    files, meta = cat.table("files"), metadata_of(cat.table("media_metadata"))
+    out = reports.unprocessed_raws(files, meta, cat.table("raw_outputs")).withColumn("has_output", F.lit(False))
+    sinks.write_report(out, "unprocessed", os.path.join(dest, "unprocessed_raws.csv"))
+    dates = files.select("id", "first_seen_at", "last_seen_at")
+    sinks.write_report(reports.unknown_files(files).join(dates, "id"), "unknown", os.path.join(dest, "unknown_files.csv"))
+    sinks.write_report(reports.unlinked_psds(files, meta, cat.table("psd_source_links")), "unlinked", os.path.join(dest, "unlinked_psds.csv"))
+
+
 def report(cat: Catalog, a: argparse.Namespace) -> int:
     if not cat.version():
         print("no catalogue", file=sys.stderr)
         return 1
-    records = scan.scan(cat.spark, a.src, force_full=True).select(F.col("orig_path").alias("path"), "hash")
-    sinks.write_report(reports.source_report(records, cat.table("files"), cat.table("file_occurrences")), "source", a.report_csv)
+    records = cut(scan.scan(cat.spark, a.src, force_full=True, errors=log_errors, keep_unread=True).select(F.col("orig_path").alias("path"), "hash", "error"))
+    told = reports.source_report(records.select("path", "hash"), cat.table("files"), cat.table("file_occurrences"))
+    sinks.write_report(reports.with_notes(told, records), "source", a.report_csv)
     return 0
 
 
@@ -114,9 +143,14 @@ def bench(a: argparse.Namespace) -> int:
         times = []
         for _ in range(a.repeats):
             spark = build_session(cpus=workers)
+            cat = Catalog(spark, tempfile.mkdtemp(prefix="bench-", dir=a.db_dir)) if a.db_dir else None
             began = time.perf_counter()
             skips = spark.createDataFrame([(a.skip_dest,)], "skip_dir string") if a.skip_dest else None
-            scan.scan(spark, a.src, skips=skips, dialect="v1", pictures=a.use_phash).write.format("noop").mode("overwrite").save()
+            records = scan.scan(spark, a.src, skips=skips, dialect="v1", pictures=a.use_phash)
+            if cat is not None:  # the upserts and their writing are timed too
+                pipeline.ingest(cat, records, "v1")
+            else:
+                records.write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
             spark.stop()
         results.append({"workers": workers, "times": times, "cold": times[0], "warm_avg": sum(times[1:]) / len(times[1:]) if times[1:] else None})
@@ -130,7 +164,7 @@ def main(args: list[str] | None = None) -> int:
     sub = p.add_subparsers(required=True)
     o = sub.add_parser("organize")
     o.add_argument("src"), o.add_argument("dest")
-    o.add_argument("--seed", action="append"), o.add_argument("--db"), o.add_argument("--skip-dirs-file"), o.add_argument("--copy-report")
+    o.add_argument("--seed", "--seed-output", action="append"), o.add_argument("--max-workers", type=int), o.add_argument("--db"), o.add_argument("--skip-dirs-file"), o.add_argument("--copy-report")
     o.add_argument("--report-csv", default="source_report.csv"), o.add_argument("--dialect", choices=["v1", "v2"], default="v2")
     for flag in ("--move", "--dry-run", "--report", "--use-phash"):
         o.add_argument(flag, action="store_true")
@@ -148,7 +182,7 @@ def main(args: list[str] | None = None) -> int:
     n.add_argument("file"), n.set_defaults(run=inspect)
     b = sub.add_parser("bench")
     b.add_argument("src"), b.add_argument("--skip-dest"), b.add_argument("--workers", type=int, nargs="+", default=[1, 2, 4, 8]), b.add_argument("--repeats", type=int, default=3)
-    b.add_argument("--use-phash", action="store_true"), b.add_argument("--output", default="bench_scan_results.json"), b.set_defaults(run=bench)
+    b.add_argument("--use-phash", action="store_true"), b.add_argument("--db-dir"), b.add_argument("--output", default="bench_scan_results.json"), b.set_defaults(run=bench)
     a = p.parse_args(args)
     return a.run(a)
 

@@ -55,6 +55,21 @@ def source_report(listing: DataFrame, files: DataFrame, occurrences: DataFrame)
     )
 
 
+def with_notes(report: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """source_report() with a note for every state, and no destination for duplicates, as the CSV report has them.
+
+    listing: path, error. Files that couldn't be read, and are known by no path, have the state Error.
+    """
+    note = F.when(F.col("status") == "Not In Catalog", "Pending Import").when(F.col("status") == "Scheduled Copy/Move", "Active Record").when(F.col("status") == "Indexed (No Dest)", "No destination assigned").otherwise(F.col("note"))
+    out = report.withColumns({"note": note, "dest_path": F.when(F.col("status") == "Duplicate", "").otherwise(F.col("dest_path"))})
+    if listing is None:
+        return out
+    failed = listing.filter("error is not null").groupBy("path").agg(F.min("error").alias("error"))
+    met = out.join(failed, "path", "left")
+    error = F.col("error").isNotNull() & (F.col("status") == "Not In Catalog")
+    return met.withColumns({"note": F.when(error, F.concat(F.lit("Hash failed: "), "error")).otherwise(F.col("note")), "status": F.when(error, "Error").otherwise(F.col("status"))}).select(*report.columns)
+
+
 def copy_report(occurrences: DataFrame, files: DataFrame) -> DataFrame:
     """path, type, is_seed, status, dest_path, duplicate_of, hash of each occurrence, by its hash.
 

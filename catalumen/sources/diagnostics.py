@@ -21,11 +21,11 @@ from catalumen.sources.listing import list_files
 TOOLS = {"probe": ["ffprobe", "-v", "quiet", "-print_format", "json", "-show_format", "-show_streams"], "tool": ["exiftool", "-j"]}
 
 
-def ask(command: list[str], path: str, timeout: int | None = 120) -> str | None:
+def ask(command: list[str], path: str) -> str | None:
     """What a tool prints of a file; null if there is no such tool or it fails."""
     if shutil.which(command[0]) is None:
         return None
-    done = subprocess.run([*command, path], capture_output=True, text=True, timeout=timeout)
+    done = subprocess.run([*command, path], capture_output=True, text=True)
     return done.stdout if done.returncode == 0 else None
 
 

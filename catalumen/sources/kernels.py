@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import mmap
 import os
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
 from typing import BinaryIO
 
@@ -142,57 +143,138 @@ def exif(path: str, strip: bool = True) -> dict[str, str | None]:
     return {"date": date, "camera": text("Image Model"), "lens": text("EXIF LensModel")}
 
 
+#: What a movie's user data tells, by box kind or key: fixed values of the QuickTime format, and our tags for them.
+_USER_TAGS = {b"\xa9mod": "device_model", b"\xa9ART": "performer", b"\xa9swr": "encoded_library", b"\xa9day": "recorded_date"}
+_USER_KEYS = {b"com.apple.quicktime.model": "device_model", b"com.apple.quicktime.artist": "performer", b"com.apple.quicktime.software": "encoded_library", b"com.apple.quicktime.creationdate": "recorded_date"}
+
+
+def _boxes(f: BinaryIO, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, first byte of the content, end) of the boxes between two offsets."""
+    while at + 8 <= end:
+        f.seek(at)
+        size, kind = struct.unpack(">I4s", f.read(8))
+        inner = at + 8
+        if size == 1:
+            long = f.read(8)
+            if len(long) < 8:
+                return
+            size, inner = struct.unpack(">Q", long)[0], at + 16
+        stop = at + size if size else end
+        if stop <= at + 7 or stop > end:
+            return
+        yield kind, inner, stop
+        at = stop
+
+
+def _text(f: BinaryIO, at: int, end: int) -> str:
+    f.seek(at)
+    return f.read(end - at).decode("utf-8", "replace").strip("\0 \r\n")
+
+
+def _user_data(f: BinaryIO, at: int, end: int, out: dict[str, str]) -> None:
+    """Adds what boxes of user data (udta, meta, keys, ilst) tell."""
+    keys: list[bytes] = []
+    for kind, inner, stop in _boxes(f, at, end):
+        if kind in _USER_TAGS and stop - inner > 4:
+            f.seek(inner)
+            n = struct.unpack(">H", f.read(2))[0]  # length and language come before the text
+            out.setdefault(_USER_TAGS[kind], _text(f, inner + 4, min(stop, inner + 4 + n)))
+        elif kind == b"meta":
+            f.seek(inner)
+            plain = f.read(8)[4:] in (b"hdlr", b"keys", b"ilst")
+            _user_data(f, inner if plain else inner + 4, stop, out)
+        elif kind == b"keys":
+            at_ = inner + 8
+            while at_ + 8 <= stop:
+                f.seek(at_)
+                n = struct.unpack(">I", f.read(4))[0]
+                if n < 8 or at_ + n > stop:
+                    break
+                f.seek(at_ + 8)
+                keys.append(f.read(n - 8))
+                at_ += n
+        elif kind == b"ilst":
+            for number, first, last in _boxes(f, inner, stop):
+                n = struct.unpack(">I", number)[0]
+                tag = _USER_KEYS.get(keys[n - 1]) if 0 < n <= len(keys) else _USER_TAGS.get(number)
+                for what, value, ends in _boxes(f, first, last):
+                    if tag and what == b"data" and ends - value > 8:
+                        out.setdefault(tag, _text(f, value + 8, ends))
+
+
 def movie_head(path: str) -> dict[str, str]:
-    """General tags of an MP4 or MOV file from its moov/mvhd box: encoded_date in UTC and duration in milliseconds."""
+    """General tags of a movie: of MP4 and MOV files encoded_date in UTC and duration in milliseconds from the movie header,
+    model, performer, software and recorded date from its user data; of AVI files duration, recorded date and encoder."""
+    out: dict[str, str] = {}
     with open(path, "rb") as f:
-        end, at = os.path.getsize(path), 0
-        while at + 8 <= end:
-            f.seek(at)
-            size, kind = struct.unpack(">I4s", f.read(8))
-            inner = at + 8
-            if size == 1:
-                size, inner = struct.unpack(">Q", f.read(8))[0], at + 16
-            size = size or end - at
-            if size < 8:
-                break
-            if kind == b"moov":
-                at = inner
+        end = os.path.getsize(path)
+        head = f.read(12)
+        if head[:4] == b"RIFF" and head[8:] == b"AVI ":
+            _riff(f, 12, end, out)
+            return out
+        for kind, inner, stop in _boxes(f, 0, end):
+            if kind != b"moov":
                 continue
-            if kind == b"mvhd":
-                f.seek(inner)
-                body = f.read(36)
-                made, scale, length = struct.unpack(">QxxxxxxxxIQ", body[4:32]) if body[0] == 1 else struct.unpack(">IxxxxII", body[4:20])
-                out = {}
-                if made:
-                    out["encoded_date"] = f"{datetime(1904, 1, 1, tzinfo=UTC) + timedelta(seconds=made):%Y-%m-%d %H:%M:%S} UTC"
-                if scale:
-                    out["duration"] = str(round(1000 * length / scale))
-                return out
-            at += size
-    return {}
+            for part, at, last in _boxes(f, inner, stop):
+                if part in (b"udta", b"meta"):
+                    _user_data(f, at - 8 if part == b"meta" else at, last, out)
+                elif part == b"mvhd" and last - at >= 20:
+                    f.seek(at)
+                    body = f.read(36)
+                    made, scale, length = struct.unpack(">QxxxxxxxxIQ", body[4:32]) if body[0] == 1 else struct.unpack(">IxxxxII", body[4:20])
+                    if made:
+                        out["encoded_date"] = f"{datetime(1904, 1, 1, tzinfo=UTC) + timedelta(seconds=made):%Y-%m-%d %H:%M:%S} UTC"
+                    if scale:
+                        out["duration"] = str(round(1000 * length / scale))
+    return {k: v for k, v in out.items() if v}
+
+
+def _riff(f: BinaryIO, at: int, end: int, out: dict[str, str]) -> None:
+    """Adds what the chunks of an AVI file tell; lists of frames are passed over."""
+    while at + 8 <= end:
+        f.seek(at)
+        kind, size = struct.unpack("<4sI", f.read(8))
+        inner, stop = at + 8, min(end, at + 8 + size)
+        if kind == b"LIST":
+            if f.read(4) != b"movi":
+                _riff(f, inner + 4, stop, out)
+        elif kind == b"avih" and size >= 20:
+            micro, _, _, _, frames = struct.unpack("<5I", f.read(20))
+            if micro and frames:
+                out["duration"] = str(round(micro * frames / 1000))
+        elif kind == b"IDIT":
+            text = _text(f, inner, stop)
+            try:  # as the C library writes times
+                text = f"{datetime.strptime(text, '%a %b %d %H:%M:%S %Y'):%Y-%m-%d %H:%M:%S}"
+            except ValueError:
+                pass
+            out.setdefault("recorded_date", text)
+        elif kind == b"ISFT":
+            out.setdefault("encoder", _text(f, inner, stop))
+        at += 8 + size + size % 2
 
 
 def embedded_names(path: str) -> list[str]:
-    """File names of pictures embedded in a layered document, in order: the Pascal or Unicode names of its linked layer
-    records (liFD, liFE, liFA)."""
-    with open(path, "rb") as f:
-        data = f.read()
-    if data[:4] != b"8BPS":
+    """File names of pictures embedded in a layered document, in order: the Unicode names of its linked layer records
+    (liFD, liFE, liFA). The document is mapped, not read into memory; a record whose name exceeds the file is passed over."""
+    if os.path.getsize(path) < 4:
         return []
     out = []
-    for m in re.finditer(rb"li(?:FD|FE|FA)", data):
-        at = m.end() + 4
-        if at >= len(data):
-            continue
-        at += 1 + data[at]  # the record's unique id
-        if at + 4 > len(data):
-            continue
-        n = struct.unpack_from(">I", data, at)[0]
-        raw = data[at + 4 : at + 4 + 2 * n]
-        if 0 < n < 1000 and len(raw) == 2 * n:
-            name = raw.decode("utf-16-be", "replace").rstrip("\0")
-            if name:
-                out.append(name)
+    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        if data[:4] != b"8BPS":
+            return []
+        for m in re.finditer(rb"li(?:FD|FE|FA)", data):
+            at = m.end() + 4
+            if at >= len(data):
+                continue
+            at += 1 + data[at]  # the record's unique id
+            if at + 4 > len(data):
+                continue
+            n = struct.unpack_from(">I", data, at)[0]
+            if 0 < n and at + 4 + 2 * n <= len(data):
+                name = data[at + 4 : at + 4 + 2 * n].decode("utf-16-be", "replace").split("\0")[0]
+                if name:
+                    out.append(name)
     return out
 
 

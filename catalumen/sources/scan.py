@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,7 +47,7 @@ def _reader(least: int, force_full: bool, pictures: bool, fallback: bool):
                     tags = tags or {}
                 if fallback and kind == "video" and error is None and "encoded_date" not in tags and tags.get("duration", "0") == "0":
                     try:
-                        tool = ask(_TOOL, path, timeout=None)
+                        tool = ask(_TOOL, path)
                     except (OSError, ValueError):  # it can't be run, or prints no text
                         tool = None
                 rows.append((full, sparse, tags, width, height, phash, tool, error))
@@ -78,8 +78,11 @@ def with_sequence(listing: DataFrame) -> DataFrame:
     return ordered.withColumn("rank", rank).join(F.broadcast(before), "_p").withColumn("seq", F.col("before") + F.col("rank")).drop("_p", "rank", "before", "order_key")
 
 
-def scan(spark: SparkSession, root: str, is_seed: bool = False, known_sparse: DataFrame | None = None, skips: DataFrame | None = None, dialect: str = "v2", pictures: bool = False, least: int = SPARSE_FROM, force_full: bool = False, zone: str | None = None) -> DataFrame:
-    """File records of a tree, with seq in walking order. Files that can't be read are left out.
+def scan(spark: SparkSession, root: str, is_seed: bool = False, known_sparse: DataFrame | None = None, skips: DataFrame | None = None, dialect: str = "v2", pictures: bool = False, least: int = SPARSE_FROM, force_full: bool = False, zone: str | None = None, errors: Callable[[DataFrame], None] | None = None, keep_unread: bool = False) -> DataFrame:
+    """File records of a tree, with seq in walking order.
+
+    Files that can't be read are left out, or with keep_unread kept with an error text in a column more; errors is
+    called with them, and with the directories that can't be read (path, error).
 
     Two stages: sparse fingerprints of large files first; the full hash only where the sparse one is known already
     (known_sparse: sparse_hash) or belongs to an earlier file of the scan. Capture time: the tags', in v1 else the one
@@ -88,9 +91,13 @@ def scan(spark: SparkSession, root: str, is_seed: bool = False, known_sparse: Da
     those whose container tells neither date nor duration.
     """
     kind = file_type(F.col("name"), resource_forks=dialect == "v2")
-    listing = with_sequence(list_files(spark, root, skips)).withColumn("type", kind).repartition(spark.sparkContext.defaultParallelism * 2)
+    listing = with_sequence(list_files(spark, root, skips, errors)).withColumn("type", kind).repartition(spark.sparkContext.defaultParallelism * 2)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema) + ", " + _READ
-    first = cut(listing.mapInPandas(_reader(least, force_full, pictures and dialect == "v1", dialect == "v2"), shape).filter("error is null"))
+    first = cut(listing.mapInPandas(_reader(least, force_full, pictures and dialect == "v1", dialect == "v2"), shape))
+    if errors is not None:
+        errors(first.filter("error is not null").select("path", "error"))
+    if not keep_unread:
+        first = first.filter("error is null")
     known = known_sparse if known_sparse is not None else spark.createDataFrame([], "sparse_hash string")
     again = hashing_plan(first, known, "seq").filter("needs_full").select("seq")
     rest = first.filter("hash is null").select("seq", "path").join(again, "seq", "left_semi").mapInPandas(_hash_rest, "seq long, full string")
@@ -110,7 +117,7 @@ def scan(spark: SparkSession, root: str, is_seed: bool = False, known_sparse: Da
         F.col("name").alias("orig_name"), F.col("path").alias("orig_path"), "size_bytes", F.lit(is_seed).alias("is_seed"),
         name_score(stem(F.col("name")), dialect).alias("name_score"), "mtime", F.coalesce(told, *by_path, clock).alias("capture_datetime"),
         F.when(video, movie.getField("camera_model")).otherwise(image.getField("camera_model")).alias("camera_model"), image.getField("lens_model").alias("lens_model"),
-        F.when(sized, F.col("width")).alias("width"), F.when(sized, F.col("height")).alias("height"), movie.getField("duration_sec").alias("duration_sec"), "phash",
+        F.when(sized, F.col("width")).alias("width"), F.when(sized, F.col("height")).alias("height"), movie.getField("duration_sec").alias("duration_sec"), "phash", *(["error"] if keep_unread else []),
     )
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 REPORTS = {
     "source": {"path": "Source Path", "status": "Status", "file_type": "File Type", "dest_path": "Destination Path", "canonical_path": "Canonical Source (If Duplicate)", "note": "Notes"},
     "copy": {c: c for c in ("path", "type", "is_seed", "status", "dest_path", "duplicate_of", "hash")},
-    "unprocessed": {c: c for c in ("raw_file_id", "raw_path", "capture_datetime", "camera_model")},
-    "unknown": {"id": "file_id", **{c: c for c in ("ext", "orig_path", "size_bytes", "is_seed")}},
+    "unprocessed": {c: c for c in ("raw_file_id", "raw_path", "capture_datetime", "camera_model", "has_output")},
+    "unknown": {"id": "file_id", **{c: c for c in ("ext", "orig_path", "size_bytes", "is_seed", "first_seen_at", "last_seen_at")}},
     "unlinked": {"id": "psd_id", "orig_name": "psd_name", **{c: c for c in ("orig_path", "dest_path", "capture_datetime", "camera_model")}},
     "issues": {c: c for c in ("path", "in_unknown_files", "issues")},
 }

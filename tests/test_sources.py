@@ -220,3 +220,79 @@ def test_diagnostic_and_inspector(spark, tree, capsys):
     assert got == {"Device_Model": ("X", True), "long": ("y" * 57 + "...", False)}
     assert cli.main(["inspect", str(tree / "src/clip.mp4")]) == 0
     assert "encoded_date" in capsys.readouterr().out
+
+
+def box(kind, body):
+    return struct.pack(">I", 8 + len(body)) + kind + body
+
+
+def test_user_data_of_movies(tmp_path):
+    p = str(tmp_path / "x.mov")
+    mvhd = box(b"mvhd", b"\0\0\0\0" + struct.pack(">IIII", 3_660_779_045, 0, 1000, 5000) + b"\0" * 80)
+    text = lambda t: struct.pack(">HH", len(t), 0) + t
+    open(p, "wb").write(box(b"ftyp", b"qt  \0\0\0\0") + box(b"moov", mvhd + box(b"udta", box(b"\xa9mod", text(b"Cam 7")) + box(b"\xa9swr", text(b"1.0")))))
+    assert kernels.movie_head(p) == {"encoded_date": "2020-01-02 03:04:05 UTC", "duration": "5000", "device_model": "Cam 7", "encoded_library": "1.0"}
+    key = b"com.apple.quicktime.creationdate"
+    keys = box(b"keys", b"\0\0\0\0" + struct.pack(">I", 1) + struct.pack(">I", 8 + len(key)) + b"mdta" + key)
+    ilst = box(b"ilst", box(struct.pack(">I", 1), box(b"data", struct.pack(">II", 1, 0) + b"2020-01-02T03:04:05+0200")))
+    hdlr = box(b"hdlr", b"\0" * 8 + b"mdta" + b"\0" * 12)
+    for wrap in (box(b"meta", hdlr + keys + ilst), box(b"udta", box(b"meta", b"\0\0\0\0" + hdlr + keys + ilst))):
+        open(p, "wb").write(box(b"moov", mvhd + wrap))
+        assert kernels.movie_head(p)["recorded_date"] == "2020-01-02T03:04:05+0200"
+    for cut in range(0, os.path.getsize(p), 7):  # a file that breaks off is read as far as it goes
+        open(str(tmp_path / "y.mov"), "wb").write(open(p, "rb").read()[:cut])
+        kernels.movie_head(str(tmp_path / "y.mov"))
+
+
+def test_avi_head(tmp_path):
+    part = lambda k, d: k + struct.pack("<I", len(d)) + d + b"\0" * (len(d) % 2)
+    avih = part(b"avih", struct.pack("<5I", 40_000, 0, 0, 0, 250) + b"\0" * 36)
+    body = b"AVI " + part(b"LIST", b"hdrl" + avih + part(b"IDIT", b"Thu Jan 02 03:04:05 2020\n\0")) + part(b"LIST", b"INFO" + part(b"ISFT", b"CanonMVI02\0")) + part(b"LIST", b"movi" + b"x" * 99)
+    (tmp_path / "x.avi").write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+    assert kernels.movie_head(str(tmp_path / "x.avi")) == {"duration": "10000", "recorded_date": "2020-01-02 03:04:05", "encoder": "CanonMVI02"}
+
+
+def test_long_embedded_names(tmp_path):
+    (tmp_path / "x.psd").write_bytes(psd("n" * 5000 + ".jpg"))
+    assert kernels.embedded_names(str(tmp_path / "x.psd")) == ["n" * 5000 + ".jpg"]
+    (tmp_path / "x.psd").write_bytes(psd()[:-3])
+    assert kernels.embedded_names(str(tmp_path / "x.psd")) == []
+
+
+def test_unreadable_files_are_told(spark, tree, caplog):
+    from catalumen import __main__ as cli
+
+    os.symlink(str(tree / "nowhere"), str(tree / "src/dangling.jpg"))
+    bad = tree / "src/gone.jpg"
+    bad.write_bytes(b"x")
+    told = []
+    cat = Catalog(spark, str(tree / "cat"))
+    pipeline.ingest(cat, scan.scan(spark, str(tree / "src")))
+    rows = scan.scan(spark, str(tree / "src"), force_full=True, keep_unread=True, errors=lambda df: told.extend(df.collect()))
+    assert told == [] and rows.filter("error is not null").count() == 0
+    # what a failed read looks like in the report
+    listing_ = spark.createDataFrame([("/new/lost.jpg", None, "denied"), ("/new/lost.bin", None, "denied"), (str(bad), None, "denied")], "path string, hash string, error string")
+    out = reports.with_notes(reports.source_report(listing_.drop("error"), cat.table("files"), cat.table("file_occurrences")), listing_)
+    assert {(os.path.basename(r.path), r.status, r.note) for r in out.collect()} == {("lost.jpg", "Error", "Hash failed: denied"), ("lost.bin", "Skipped", "Unsupported extension"), ("gone.jpg", "Indexed (No Dest)", "No destination assigned")}
+    cli.log_errors(spark.createDataFrame([("/x", "denied")], "path string, error string"))
+    assert "Failed to scan /x: denied" in caplog.text
+    assert listing.skip_list(spark, str(tree / "no-list"), "/r").count() == 0 and "skip list not found" in caplog.text
+
+
+def test_whole_runs_of_both_dialects(spark, tree):
+    from catalumen import __main__ as cli
+
+    for dialect, names in (("v1", {"unprocessed_raws.csv", "unknown_files.csv", "unlinked_psds.csv"}), ("v2", set())):
+        dest = tree / dialect
+        args = ["organize", str(tree / "src"), str(dest), "--dialect", dialect, "--copy-report", str(tree / f"copied-{dialect}")]
+        assert cli.main(args) == 0
+        cat = Catalog(spark, str(dest / "catalog"))
+        planned = {r.dest_path for r in cat.table("files").filter("dest_path is not null").collect()}
+        assert planned and all(os.path.exists(p) for p in planned)
+        assert names <= set(os.listdir(dest))
+        made = {r.path for r in cat.table("file_occurrences").collect()} & planned
+        assert made == (planned if dialect == "v2" else set())
+        assert cli.main([*args, "--report", "--report-csv", str(tree / f"report-{dialect}")]) == 0
+        assert spark.read.csv(str(tree / f"report-{dialect}"), header=True).count() == 9
+    assert spark.read.csv(str(tree / "v1/unknown_files.csv"), header=True).columns[-1] == "last_seen_at"
+    assert not os.path.exists(tree / "src/moved")
