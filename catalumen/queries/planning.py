@@ -10,7 +10,7 @@ from catalumen.operators.catalog import metadata_of
 from catalumen.operators.links import psd_links, sidecar_links
 from catalumen.operators.timestamps import utc_text
 from catalumen.plans import destinations as plans
-from catalumen.queries import sql
+from catalumen.queries import linking, sql
 from catalumen.runtime import table
 
 
@@ -90,4 +90,30 @@ SELECT s.id AS sidecar_file_id, {sql.parent('r.dest_path')} || '/' || {sql.stem(
 WHERE r.type = 'raw' AND s.type = 'sidecar' AND r.dest_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY r.id) = 1""",
     "psd_dest_v2": _LINK + f""" SELECT psd_file_id, regexp_replace({sql.parent('dest_path')}, '(?i)(^|/)raw(/|$)', '\\1output\\2') || '/' || l.orig_name AS dest_path FROM l JOIN files f ON f.id = l.source_file_id WHERE dest_path IS NOT NULL""",
     "pending_moves": "SELECT id, dest_path FROM files WHERE dest_path IS NOT NULL AND dest_path NOT IN (SELECT path FROM file_occurrences WHERE path IS NOT NULL)",
+    "psd_dest_v1": f"""WITH RECURSIVE {sql.PLANNED}, s AS (SELECT {sql.normal_stem(_STEM, 'v1')} AS key, type, id FROM files WHERE type IN ('raw', 'jpeg') AND orig_name IS NOT NULL),
+p AS (SELECT id, orig_name, taken_at, {sql.psd_stem(_STEM, 'v1')} AS key FROM dated WHERE type = 'psd'),
+l AS (SELECT p.id, s.id AS source_file_id FROM p JOIN s USING (key) QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY s.type, s.id) = 1),
+q AS (SELECT p.id, p.orig_name, coalesce({sql.parent('f.dest_path')}, 'output/' || strftime(taken_at, '%Y/%Y-%m') || '/unlinked-psds') AS folder FROM p LEFT JOIN l USING (id) LEFT JOIN files f ON f.id = l.source_file_id),
+wants AS (SELECT id, folder, orig_name AS want, 0 AS pass, '' AS kind, 0 AS first_id FROM q WHERE folder IS NOT NULL AND orig_name IS NOT NULL),
+taken AS (SELECT folder, want AS name FROM wants WHERE false), {sql.numbered(' ({})')}
+SELECT id AS psd_file_id, folder || '/' || name AS dest_path FROM named""",
 }
+
+
+def _plan(dialect: str) -> str:
+    where = "'/organized/' || CASE WHEN type = 'raw' THEN 'raw' ELSE 'output' END || strftime(taken_at, '/%Y/%Y-%m')"
+    plain = f"{_STEM} || '_' || {_AT} || {_EXT}"
+    resized = f"{_STEM} || '_resized' || CASE WHEN width <> 0 AND height <> 0 THEN '_' || width || 'x' || height ELSE '' END || '_' || {_AT} || {_EXT}"
+    there = "orig_name IS NOT NULL AND taken_at IS NOT NULL"
+    loose = f"UNION ALL SELECT id, {where}, {plain}, 2, '', id FROM dated WHERE type = 'psd' AND {there} AND id NOT IN (SELECT psd_file_id FROM ({SQL_LINKS}))" if dialect == "v2" else ""
+    taken = f"SELECT {sql.parent('dest_path')} AS folder, {sql.name('dest_path')} AS name FROM files WHERE dest_path IS NOT NULL AND id NOT IN (SELECT id FROM wants)" if dialect == "v2" else "SELECT folder, want AS name FROM wants WHERE false"
+    return f"""WITH RECURSIVE {sql.PLANNED}, j AS (SELECT *, {sql.normal_stem(_STEM, dialect)} AS group_stem, date_trunc('second', taken_at) AS sec FROM dated WHERE type = 'jpeg' AND {there}),
+g AS (SELECT *, row_number() OVER (PARTITION BY group_stem, sec ORDER BY coalesce(width, 0)::BIGINT * coalesce(height, 0) DESC, id) = 1 AS is_main, min(id) OVER (PARTITION BY group_stem, sec) AS first_id FROM j),
+wants AS (SELECT id, {where} AS folder, {plain} AS want, 0 AS pass, type AS kind, id AS first_id FROM dated WHERE type IN ('raw', 'video', 'tiff') AND {there}
+  UNION ALL SELECT id, {where}, CASE WHEN is_main THEN {plain} ELSE {resized} END, 1, '', first_id FROM g {loose}),
+taken AS ({taken}), {sql.numbered()}
+SELECT id, folder || '/' || name AS dest_path FROM named"""
+
+
+SQL_LINKS = f"SELECT psd_file_id FROM ({linking.SQL['psd_stem_link_v2']})"
+SQL |= {"dest_plan": _plan("v2"), "dest_plan_v1": _plan("v1")}

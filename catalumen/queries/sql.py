@@ -73,3 +73,19 @@ captures AS (SELECT f.id, f.type, f.orig_name, m.capture_datetime, m.camera_mode
 PLANNED = CAPTURES + """,
 clock AS (SELECT file_id AS id, min(mtime) AS mtime FROM file_occurrences WHERE mtime > 0 AND mtime < 4102444800 GROUP BY file_id),
 dated AS (SELECT c.* EXCLUDE (taken_at), coalesce(c.taken_at, make_timestamp((floor(k.mtime) * 1000000)::BIGINT)) AS taken_at FROM captures c LEFT JOIN clock k USING (id))"""
+
+
+def numbered(style: str = "_{}") -> str:
+    """CTEs after wants (id, folder, want, pass, kind, first_id) and taken (folder, name): named (id, folder, name), each folder
+    gone through row by row in order, the first free number for a name that is there."""
+    before, after = (f"'{x}'" for x in style.split("{}"))
+    with_number = f"st || {before} || k || {after} || ext"
+    return f"""w AS (SELECT id, folder, want, {stem('want')} AS st, {suffix('want')} AS ext, row_number() OVER (PARTITION BY folder ORDER BY pass, kind, first_id, id) AS n FROM wants),
+u AS (SELECT folder, list(DISTINCT name) AS names FROM taken GROUP BY folder),
+steps(folder, n, id, name, names) AS (
+  SELECT folder, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, coalesce(u.names, []::VARCHAR[]) FROM (SELECT DISTINCT folder FROM w) LEFT JOIN u USING (folder)
+  UNION ALL
+  SELECT folder, n, id, name, list_append(names, name) FROM (SELECT s.folder, w.n, w.id, s.names, CASE WHEN NOT list_contains(s.names, w.want) THEN w.want
+      ELSE list_filter(list_transform(range(1, len(s.names) + 2), lambda k: {with_number}), lambda x: NOT list_contains(s.names, x))[1] END AS name
+    FROM steps s JOIN w ON w.folder = s.folder AND w.n = s.n + 1)),
+named AS (SELECT id, folder, name FROM steps WHERE id IS NOT NULL)"""
