@@ -43,7 +43,7 @@ LOOKALIKES = str.maketrans(dict(zip("асеорхуікѕјԁһвмнтοαει
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t", "€": "e"})
 _HIDDEN = re.compile("[­​-‏ -‮⁠-⁤︀-️﻿]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._*\-·]){2,}[^\W\d_](?![^\W_])")
-_TOKEN = re.compile(r"([.!?…]+(?=\s|$)|[。！？\n\r]+)|([぀-ヿ㐀-鿿]|[^\W_]+(?:[*@$!|+€'’#]+[^\W_぀-ヿ㐀-鿿]+)*)")
+_TOKEN = re.compile(r"(?:[.!?…]+(?=\s|$)|[。！？\n\r]+)|([぀-ヿ㐀-鿿]|[^\W_]+(?:[*@$!|+€'’#]+[^\W_぀-ヿ㐀-鿿]+)*)")
 _LATIN = re.compile("[a-z]")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"(.)\1+")
@@ -69,55 +69,74 @@ def _hash(text: str) -> int:
     return x
 
 
+class Codes(dict):
+    """token -> its number, given at the first look; its word's and its skeleton's hashes are kept under that number.
+
+    The empty token, an end of a sentence, is number 0."""
+
+    def __init__(self) -> None:
+        self[""] = 0
+        self.words: list[int] = [0]
+        self.bones: list[int] = [0]
+
+    def __missing__(self, token: str) -> int:
+        word, skeleton = plain(token)
+        self.words.append(_hash("w" + word))
+        self.bones.append(_hash("k" + skeleton) if len(skeleton) > 1 else 0)
+        self[token] = number = len(self.words) - 1
+        return number
+
+
 class Reader:
     """Texts as segments of hashed word n-grams (1 to 3), skip-grams (one or two words left out) and skeletons."""
 
     def __init__(self, bits: int = SPACE_BITS) -> None:
         self.bits = bits
-        self.kept: dict[str, tuple[int, int]] = {}
-
-    def _codes(self, token: str) -> tuple[int, int]:
-        codes = self.kept.get(token)
-        if codes is None:
-            word, skeleton = plain(token)
-            codes = _hash("w" + word), _hash("k" + skeleton) if len(skeleton) > 1 else 0
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[token] = codes
-        return codes
+        self.kept = Codes()
 
     def tokens(self, text: str) -> Iterator[list[str]]:
         """The sentences of a text as lists of raw tokens."""
-        t = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
-        t = _SPACED.sub(lambda m: re.sub(r"[ ._*\-·]", "", m[0]), t)
         run: list[str] = []
-        for end, token in _TOKEN.findall(t):
+        for token in [*self.marks(text), ""]:
             if token:
                 run.append(token)
             elif run:
                 yield run
                 run = []
-        if run:
-            yield run
+
+    @staticmethod
+    def marks(text: str) -> list[str]:
+        """The raw tokens of a text, with an empty one at each end of a sentence."""
+        t = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+        t = _SPACED.sub(lambda m: re.sub(r"[ ._*\-·]", "", m[0]), t)
+        return _TOKEN.findall(t)
 
     def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each segment, segment of each feature, feature), in order, each feature once a segment."""
-        words: list[int] = []
-        bones: list[int] = []
-        sizes: list[int] = []
-        owner: list[int] = []
-        for i, text in enumerate(texts):
-            for sentence in self.tokens(text) if text else ():
-                codes = [self._codes(x) for x in sentence]
-                step = WINDOW // 2
-                for lo in range(0, max(1, len(codes) - step), step) if len(codes) > WINDOW else (0,):
-                    part = codes[lo : lo + WINDOW]
-                    words += [a for a, _ in part]
-                    bones += [b for _, b in part]
-                    sizes.append(len(part))
-                    owner.append(i)
-        size = np.array(sizes, dtype=np.int64)
-        w, k = np.array(words, dtype=np.uint64), np.array(bones, dtype=np.uint64)
+        if len(self.kept) > KEPT:
+            self.kept = Codes()
+        number = self.kept.__getitem__
+        numbers: list[int] = []
+        ends: list[int] = []
+        for text in texts:
+            if text:
+                numbers += map(number, self.marks(text))
+            numbers.append(0)
+            ends.append(len(numbers))
+        codes = np.array(numbers, dtype=np.int64)
+        # sentences: runs between zeros
+        stops = np.flatnonzero(codes == 0)
+        begin = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+        length = stops - begin
+        begin, length = begin[length > 0], length[length > 0]
+        step = WINDOW // 2
+        windows = np.where(length > WINDOW, -(-(length - step) // step), 1)
+        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = np.repeat(begin, windows) + nth * step
+        size = np.minimum(WINDOW, np.repeat(length, windows) - nth * step)
+        owner = np.searchsorted(np.array(ends, dtype=np.int64), start, side="right")
+        at = codes[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
+        w, k = (np.array(x, dtype=np.uint64)[at] for x in (self.kept.words, self.kept.bones))
         seg = np.repeat(np.arange(len(size)), size)
         parts, segs = [w], [seg]
         with np.errstate(over="ignore"):
@@ -135,7 +154,7 @@ class Reader:
         pairs = np.concatenate(segs) << self.bits | feature
         pairs.sort()
         pairs = pairs[np.diff(pairs, prepend=-1) != 0]
-        return np.array(owner, dtype=np.int64), pairs >> self.bits, pairs & ((1 << self.bits) - 1)
+        return owner, pairs >> self.bits, pairs & ((1 << self.bits) - 1)
 
 
 class Ftrl:
