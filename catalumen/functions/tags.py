@@ -55,10 +55,11 @@ def exif_tool(tags: Column) -> Column:
 
 def video_metadata(general: Column, tool: Column) -> Column:
     """The general track's, or where that has neither date nor duration, the tool's. A duration of 0 is none."""
-    says = lambda c: c.getField("capture_datetime").isNotNull() | (c.getField("duration_sec") != 0)
-    a, b = general_track(general), exif_tool(tool)
-    none = F.lit(None)
-    return F.when(says(a), a).when(says(b), b).otherwise(_result(none.cast("timestamp_ntz"), none.cast("double"), none.cast("string")))
+    says = lambda c: c["capture_datetime"].isNotNull() | F.coalesce(c["duration_sec"] != 0, F.lit(False))
+    # bound once in an array, as written out each use of them would be computed and compiled again
+    both = F.array(general_track(general), exif_tool(tool))
+    none = _result(F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    return F.coalesce(F.get(F.filter(both, says), F.lit(0)), none)
 
 
 DIAGNOSTIC = ["capture_datetime", "duration_sec", "width", "height", "codec", "camera_model", "notes"]
