@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalumen.functions.constants import EXIF_DATE_TAGS
 from catalumen.functions.times import clock_seconds, exif_time, flexible_time, media_time
 
 
@@ -17,6 +20,11 @@ def _first(tags: Column, *names: str) -> Column:
     return F.coalesce(*(_tag(tags, n) for n in names))
 
 
+def _first_time(read: Callable[[Column], Column], texts: list[Column]) -> Column:
+    """The first of several texts that can be read; the reading is written and compiled once for all."""
+    return F.get(F.filter(F.transform(F.array(*texts), read), lambda t: t.isNotNull()), F.lit(0))
+
+
 def _result(at: Column, duration: Column, camera: Column) -> Column:
     return F.struct(at.alias("capture_datetime"), duration.alias("duration_sec"), camera.alias("camera_model"))
 
@@ -24,23 +32,24 @@ def _result(at: Column, duration: Column, camera: Column) -> Column:
 def image_metadata(tags: Column, strip: bool = True) -> Column:
     """struct<capture_datetime, camera_model, lens_model>: the first date that can be read, in order of trust."""
     clean = F.trim if strip else (lambda c: c)
-    dates = [exif_time(_tag(tags, t)) for t in ("EXIF DateTimeOriginal", "EXIF DateTimeDigitized", "Image DateTime")]
-    return F.struct(F.coalesce(*dates).alias("capture_datetime"), F.nullif(clean(_tag(tags, "Image Model")), F.lit("")).alias("camera_model"), F.nullif(clean(_tag(tags, "EXIF LensModel")), F.lit("")).alias("lens_model"))
+    date = _first_time(exif_time, [_tag(tags, t) for t in EXIF_DATE_TAGS])
+    return F.struct(date.alias("capture_datetime"), F.nullif(clean(_tag(tags, "Image Model")), F.lit("")).alias("camera_model"), F.nullif(clean(_tag(tags, "EXIF LensModel")), F.lit("")).alias("lens_model"))
 
 
 def general_track(tags: Column) -> Column:
     """v2: of a container's general track, with the duration in milliseconds."""
-    dates = [flexible_time(_tag(tags, n)) for n in ("recorded_date", "encoded_date", "tagged_date", "file_last_modification_date")]
-    return _result(F.coalesce(*dates), _tag(tags, "duration").try_cast("double") / 1000, _first(tags, "performer", "device_model", "encoded_library"))
+    date = _first_time(flexible_time, [_tag(tags, n) for n in ("recorded_date", "encoded_date", "tagged_date", "file_last_modification_date")])
+    return _result(date, _tag(tags, "duration").try_cast("double") / 1000, _first(tags, "performer", "device_model", "encoded_library"))
 
 
 def general_track_v1(tags: Column, zone: str) -> Column:
     """v1: creation before modification before legacy dates; UTC ones as local time of the zone."""
-    dates = []
-    for n in ("file_creation_date", "file_last_modification_date"):
-        dates += [media_time(_tag(tags, n + "__local"), zone, local=True), media_time(_tag(tags, n), zone)]
-    dates += [media_time(_tag(tags, n), zone) for n in ("recorded_date", "encoded_date", "tagged_date")]
-    return _result(F.coalesce(*dates), _tag(tags, "duration").try_cast("double") / 1000, _first(tags, "performer", "encoder"))
+    names = ["file_creation_date", "file_last_modification_date"]
+    pairs = [(_tag(tags, n + end), F.lit(bool(end))) for n in names for end in ("__local", "")]
+    pairs += [(_tag(tags, n), F.lit(False)) for n in ("recorded_date", "encoded_date", "tagged_date")]
+    read = lambda x: F.when(x["local"], media_time(x["text"], zone, local=True)).otherwise(media_time(x["text"], zone))
+    date = _first_time(read, [F.struct(text.alias("text"), local.alias("local")) for text, local in pairs])
+    return _result(date, _tag(tags, "duration").try_cast("double") / 1000, _first(tags, "performer", "encoder"))
 
 
 def tool_tags(json: Column) -> Column:
@@ -49,8 +58,8 @@ def tool_tags(json: Column) -> Column:
 
 
 def exif_tool(tags: Column) -> Column:
-    dates = [flexible_time(_tag(tags, n)) for n in ("CreateDate", "CreationDate", "DateTimeOriginal", "MediaCreateDate")]
-    return _result(F.coalesce(*dates), _tag(tags, "Duration").try_cast("double"), _first(tags, "Model", "CameraModelName", "Make"))
+    date = _first_time(flexible_time, [_tag(tags, n) for n in ("CreateDate", "CreationDate", "DateTimeOriginal", "MediaCreateDate")])
+    return _result(date, _tag(tags, "Duration").try_cast("double"), _first(tags, "Model", "CameraModelName", "Make"))
 
 
 def video_metadata(general: Column, tool: Column) -> Column:
