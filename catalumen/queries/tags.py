@@ -102,13 +102,18 @@ LINES = [
 ]
 
 
-def log_issues_organizer(spark: SparkSession, d: str) -> DataFrame:
-    """Issues per path of an organizer's log with a line for each file, by the organizer's own nine patterns."""
+def organizer_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(value; path): an organizer's log with a line for each file, and the paths of files of unknown types."""
     files = table(spark, d, "files").filter("orig_path is not null")
     turn = (F.col("id") % len(LINES) + 1).cast("int")
     around = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in LINES)), turn)
     lines = files.select(F.concat(F.lit("2024-01-02 03:04:05 WARNING "), around(0), "orig_path", around(1)).alias("value"))
-    return logs.issue_summary(lines, files.filter("type = 'other'").select(F.col("orig_path").alias("path")))
+    return lines, files.filter("type = 'other'").select(F.col("orig_path").alias("path"))
+
+
+def log_issues_organizer(spark: SparkSession, d: str) -> DataFrame:
+    """Issues per path of such a log, by the organizer's own nine patterns."""
+    return logs.issue_summary(*organizer_log(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (exif_tags, video_tags_v2, video_tags_v1, video_diagnostic_rows, inspected_tags, log_issues_organizer)}

@@ -25,7 +25,7 @@ REPORTS = {
 def write_report(df: DataFrame, report: str, path: str) -> None:
     """Writes a report as quoted CSV files with a header, in the order of its first column."""
     columns = REPORTS[report]
-    df.select(*(F.col(c).alias(h) for c, h in columns.items())).orderBy(F.col(next(iter(columns.values()))).asc_nulls_first()).write.mode("overwrite").csv(path, header=True, emptyValue="", quoteAll=False, escape='"')
+    df.select(*(F.col(c).alias(h) for c, h in columns.items())).orderBy(F.col(next(iter(columns.values()))).asc_nulls_first()).write.mode("overwrite").csv(path, header=True, emptyValue="", quoteAll=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def move_files(plan: DataFrame, move: bool = False, dry_run: bool = False) -> DataFrame:
