@@ -273,7 +273,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED, bits: i
     weights that aren't 0."""
     voted = majority(labels)
     sample = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # each task sends its least ones only
-    rows = documents.select("doc_id", "text").join(sample, "doc_id").filter("text is not null")
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter("text is not null")  # `most` rows at most
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
