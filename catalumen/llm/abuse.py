@@ -22,7 +22,7 @@ SPACE_BITS = 20
 #: FTRL-proximal: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.2, 0.5
 #: Passes over the segments in each round, segments of one step, rounds of choosing segments, folds of each round.
-PASSES, STEP, ROUNDS, FOLDS = 2, 32, 3, 3
+PASSES, STEP, ROUNDS, FOLDS = 2, 64, 3, 3
 #: A feature counts if as many labelled documents have it.
 RARE = 3
 #: Score by other documents from which a segment of an abusive document may be why; the one beyond which a harmless
