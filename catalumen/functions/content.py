@@ -25,3 +25,9 @@ def sparse_fingerprint(content: Column, block: int = SPARSE_BLOCK) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 64-bit values."""
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def picture_value(text: Column) -> Column:
+    """The 64-bit value of a picture hash of 16 hex digits, whatever its outer blanks, case and leading 0x; else null."""
+    c = F.regexp_replace(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), "^0x", "")
+    return F.when(c.rlike(r"^[0-9a-f]{16}\z"), F.conv(c, 16, -10).cast("long"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.functions.constants import CONFIDENCE
-from catalumen.functions.content import hamming
+from catalumen.functions.content import hamming, picture_value
 from catalumen.functions.paths import digit_core, file_name, normal_stem, parent, psd_stem, stem
+from catalumen.runtime import block_join
 
 OUTPUT_TYPES = ["jpeg", "psd", "video", "tiff"]
 
@@ -17,11 +18,13 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], left_at: str, ri
 
     An equi join on `on` and stretches of `width` units: a left row looks in its own stretch and both neighbours, so
     that a key with many rows is spread over its stretches, and no pair is compared that lies farther apart than two.
+    A stretch that very many rows share, such as that of a clock that was never set, is joined in blocks.
     """
     step = max(1, width)
     a = left.filter(F.col(left_at).isNotNull()).withColumn("_s", F.explode(F.array(*(F.floor(F.col(left_at) / step) + i for i in (-1, 0, 1)))))
     b = right.filter(F.col(right_at).isNotNull()).withColumn("_s", F.floor(F.col(right_at) / step))
-    return a.join(b, [*on, "_s"]).filter(F.abs(F.col(left_at) - F.col(right_at)) <= width).drop("_s")
+    a, b = a.withColumn("_ia", F.xxhash64(*left.columns)), b.withColumn("_ib", F.xxhash64(*right.columns))
+    return block_join(a, b, [*on, "_s"], "_ia", "_ib").filter(F.abs(F.col(left_at) - F.col(right_at)) <= width).drop("_s", "_ia", "_ib")
 
 
 def sidecar_links(files: DataFrame) -> DataFrame:
@@ -86,8 +89,7 @@ def by_picture(captures: DataFrame, raw_hashes: DataFrame | None = None, seconds
     raws, outs = _sides(captures)
     pairs = band_join(raws, outs.filter("phash <> ''"), [], "raw_at", "output_at", seconds)
     if raw_hashes is not None:
-        value = lambda c: F.conv(c, 16, -10).cast("long")
-        pairs = pairs.join(raw_hashes, "raw_file_id").filter(hamming(value(F.col("raw_phash")), value(F.col("phash"))) <= bits)
+        pairs = pairs.join(raw_hashes, "raw_file_id").filter(hamming(picture_value(F.col("raw_phash")), picture_value(F.col("phash"))) <= bits)
     return _named(pairs, "phash")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalumen.functions.content import picture_value
 from catalumen.functions.times import flexible_time, local_seconds
 from catalumen.operators import links
 from catalumen.operators.catalog import metadata_of
@@ -43,6 +44,16 @@ def phash_band_link(spark: SparkSession, d: str) -> DataFrame:
     return links.by_picture(captures(spark, d))
 
 
+def phash_band_link_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs that look like the raw file, at most 30 s apart: hashes differ in at most 5 bits. A raw file's hash is that of
+    its catalogued output of the smallest id that has one."""
+    rows = captures(spark, d)
+    outs = rows.select(F.col("id").alias("output_file_id"), "phash").filter(picture_value(F.col("phash")).isNotNull())
+    met = table(spark, d, "raw_outputs").select("raw_file_id", "output_file_id").join(outs, "output_file_id")
+    raw = met.groupBy("raw_file_id").agg(F.min_by("phash", "output_file_id").alias("raw_phash"))
+    return links.by_picture(rows, raw)
+
+
 def link_priority_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = cut(captures(spark, d))
     return links.merge_links(links.by_name_and_time(rows), links.by_time_and_camera(rows), links.by_picture(rows))
@@ -56,7 +67,7 @@ def psd_stem_link_v2(spark: SparkSession, d: str) -> DataFrame:
     return links.psd_links(table(spark, d, "files"))
 
 
-QUERIES = {f.__name__: f for f in (sidecar_link, sidecar_link_occurrences, sidecar_index, digit_core_time_link, time_camera_band_link, phash_band_link, link_priority_merge, psd_stem_link_v1, psd_stem_link_v2)}
+QUERIES = {f.__name__: f for f in (sidecar_link, sidecar_link_occurrences, sidecar_index, digit_core_time_link, time_camera_band_link, phash_band_link, phash_band_link_bits, link_priority_merge, psd_stem_link_v1, psd_stem_link_v2)}
 
 _OUT = "('jpeg', 'psd', 'video', 'tiff')"
 _CORE = f"regexp_replace({sql.stem('orig_name')}, '[^0-9]', '', 'g')"
@@ -87,6 +98,10 @@ SELECT dir, stem, count(*) FILTER (WHERE type = 'raw') AS raws, count(*) FILTER
     "digit_core_time_link": _SIDES + "SELECT * FROM p1",
     "time_camera_band_link": _SIDES + "SELECT * FROM p2",
     "phash_band_link": _SIDES + "SELECT * FROM p3",
+    "phash_band_link_bits": _SIDES
+    + f""", h AS (SELECT id, ('0x' || {sql.phash('phash')})::UBIGINT AS v FROM captures WHERE {sql.phash('phash')} IS NOT NULL),
+rh AS (SELECT raw_file_id, arg_min(v, output_file_id) AS v FROM raw_outputs JOIN h ON h.id = output_file_id GROUP BY raw_file_id)
+SELECT p3.* FROM p3 JOIN rh USING (raw_file_id) JOIN h ON h.id = output_file_id WHERE bit_count(xor(rh.v, h.v)) <= 5""",
     "link_priority_merge": _SIDES + "SELECT * FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) QUALIFY row_number() OVER (PARTITION BY raw_file_id, output_file_id ORDER BY confidence DESC) = 1",
     "psd_stem_link_v1": _psd("v1"),
     "psd_stem_link_v2": _psd("v2"),

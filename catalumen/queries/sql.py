@@ -49,6 +49,11 @@ def sparse_hash(c: str) -> str:
     return f"CASE WHEN regexp_full_match({x}, 's-[0-9a-f]{{64}}') THEN {x} END"
 
 
+def phash(c: str) -> str:
+    x = f"regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '^0x', '')"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9a-f]{{16}}') THEN {x} END"
+
+
 def flexible_time(c: str) -> str:
     t = f"trim(replace({c}, 'UTC', ''))"
     tail = r"(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"

@@ -81,6 +81,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="catalumen-")
     if not current:
         sc.setCheckpointDir(path)
+        conf = sc._jsc.sc().conf()
+        if not conf.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+            # a checkpoint's files go once no plan refers to it any more
+            conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return path or current
 
 
