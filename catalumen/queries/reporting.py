@@ -100,8 +100,8 @@ SELECT path, status, file_type, CASE WHEN status IN ('Scheduled Copy/Move', 'Dup
 _CASES = " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{k}'" for k, p in LINE_ISSUES.items())
 _PATHS = " ".join(f"WHEN regexp_matches(v, '{p}') THEN regexp_extract(v, '{p}', 1)" for p in LINE_ISSUES.values())
 SQL = {
-    "source_report": _source(f"SELECT orig_path AS path, {sql.full_hash('max(hash)')} AS h FROM file_records WHERE orig_path IS NOT NULL GROUP BY 1"),
-    "source_report_occurrences": _source(f"SELECT path, {sql.full_hash('max(hash)')} AS h FROM file_occurrences WHERE path IS NOT NULL GROUP BY 1"),
+    "source_report": _source(f"SELECT orig_path AS path, max({sql.full_hash('hash')}) AS h FROM file_records WHERE orig_path IS NOT NULL GROUP BY 1"),
+    "source_report_occurrences": _source(f"SELECT path, max({sql.full_hash('hash')}) AS h FROM file_occurrences WHERE path IS NOT NULL GROUP BY 1"),
     "copy_report": """WITH k AS (SELECT hash, type, dest_path AS dest, orig_path AS canonical, true AS known FROM files WHERE hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id DESC) = 1),
 x AS (SELECT o.path, coalesce(o.is_seed, false) AS is_seed, o.hash, k.type, coalesce(dest, '') AS dest, canonical, known FROM file_occurrences o LEFT JOIN k USING (hash)),
 y AS (SELECT *, CASE WHEN known IS NULL THEN 'unknown' WHEN type = 'other' THEN 'skipped_other' WHEN path IS DISTINCT FROM canonical THEN 'duplicate' WHEN dest <> '' THEN 'copied' ELSE 'pending' END AS status FROM x)

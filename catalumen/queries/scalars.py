@@ -72,12 +72,14 @@ def shorten_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phash_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Bits by which each output's hash differs from its raw file's fellow outputs' first one."""
-    value = lambda c: F.when(F.col(c).rlike(r"^[0-9a-f]{16}\z"), F.conv(c, 16, -10).cast("long"))
-    media = table(spark, d, "media_metadata").groupBy("file_id").agg(F.min("phash").alias("phash"))
-    links = table(spark, d, "raw_outputs").join(media, F.col("output_file_id") == F.col("file_id")).filter(value("phash").isNotNull())
-    first = links.groupBy("raw_file_id").agg(F.min("phash").alias("first_hash"))
-    return links.join(first, "raw_file_id").select("raw_file_id", "output_file_id", content.hamming(value("phash"), value("first_hash")).cast("int").alias("bits"))
+    """Bits by which each output's hash differs from its raw file's fellow outputs' first one; hashes count however spelt."""
+    value = content.picture_value(F.col("phash"))
+    # as unsigned numbers hashes sort like their digits
+    order = F.lpad(F.hex(value), 16, "0")
+    media = table(spark, d, "media_metadata").filter(value.isNotNull()).groupBy("file_id").agg(F.min(F.struct(order.alias("o"), value.alias("v"))).alias("h"))
+    links = table(spark, d, "raw_outputs").join(media, F.col("output_file_id") == F.col("file_id"))
+    first = links.groupBy("raw_file_id").agg(F.min("h").alias("first"))
+    return links.join(first, "raw_file_id").select("raw_file_id", "output_file_id", content.hamming(F.col("h.v"), F.col("first.v")).cast("int").alias("bits"))
 
 
 QUERIES = {
@@ -143,7 +145,7 @@ SQL = {
     "digit_core": f"SELECT id, regexp_replace({_STEM}, '[^0-9]', '', 'g') AS core FROM files",
     "clean_paths": "SELECT path, regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(.)/$', '\\1') AS clean FROM file_occurrences",
     "skip_subtree": """SELECT path, file_id FROM file_occurrences o WHERE NOT EXISTS (SELECT 1 FROM scan_roots r
- WHERE (time_zone IS NULL OR root_id IN (3, 9)) AND (o.path = rtrim(root_path, '/') OR starts_with(o.path, rtrim(root_path, '/') || '/')))""",
+ WHERE (time_zone IS NULL OR EXISTS (SELECT 1 FROM scan_roots q WHERE starts_with(rtrim(r.root_path, '/'), rtrim(q.root_path, '/') || '/'))) AND (o.path = rtrim(root_path, '/') OR starts_with(o.path, rtrim(root_path, '/') || '/')))""",
     "exif_date_parse": r"""SELECT file_id, capture_datetime AS text, CASE WHEN regexp_matches(capture_datetime, '^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$')
  THEN strftime(try_cast(regexp_replace(capture_datetime, '^(\d{4}):(\d{2}):', '\1-\2-') AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') END AS local FROM media_metadata""",
     "flexible_date_parse": f"SELECT file_id, capture_datetime AS text, strftime({sql.flexible_time('capture_datetime')}, '%Y-%m-%dT%H:%M:%S') AS local FROM media_metadata",
@@ -160,8 +162,8 @@ SELECT path, coalesce({_day('^((?:19|20)[0-9]{2})[-_]([0-9]{1,2})[-_]([0-9]{1,2}
     "content_fingerprints": _fingerprints(4096),
     "sparse_fingerprint": _fingerprints(64),
     "shorten_values": "SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 57) || '...' ELSE text END AS short FROM documents",
-    "phash_distance": """WITH m AS (SELECT file_id, min(phash) AS phash FROM media_metadata GROUP BY file_id),
-l AS (SELECT raw_file_id, output_file_id, phash FROM raw_outputs JOIN m ON output_file_id = file_id WHERE regexp_full_match(phash, '[0-9a-f]{16}')),
-f AS (SELECT raw_file_id, min(phash) AS first_hash FROM l GROUP BY raw_file_id)
-SELECT raw_file_id, output_file_id, bit_count(xor(('0x' || phash)::UBIGINT, ('0x' || first_hash)::UBIGINT))::INTEGER AS bits FROM l JOIN f USING (raw_file_id)""",
+    "phash_distance": f"""WITH m AS (SELECT file_id, min({sql.phash('phash')}) AS p FROM media_metadata WHERE {sql.phash('phash')} IS NOT NULL GROUP BY file_id),
+l AS (SELECT raw_file_id, output_file_id, p FROM raw_outputs JOIN m ON output_file_id = file_id),
+f AS (SELECT raw_file_id, min(p) AS first_hash FROM l GROUP BY raw_file_id)
+SELECT raw_file_id, output_file_id, bit_count(xor(('0x' || p)::UBIGINT, ('0x' || first_hash)::UBIGINT))::INTEGER AS bits FROM l JOIN f USING (raw_file_id)""",
 }
