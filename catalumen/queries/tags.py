@@ -163,7 +163,8 @@ UNION ALL SELECT file_id, 'exiftool', CASE WHEN {_TOOL} THEN coalesce({', '.join
     unnest([{', '.join(_GENERAL)}, CASE WHEN file_id % 2 = 0 THEN ({_MS})::VARCHAR END, {', '.join(_case(4, k, 'camera_model') for k in range(3))}, nullif(repeat(capture_datetime, 4), '')]) AS v FROM m)
 SELECT file_id::VARCHAR AS file, 'General' AS track, tag, CASE WHEN length(v) > 60 THEN left(v, 57) || '...' ELSE v END AS value, tag IN ('performer', 'device_model') AS about_camera FROM t WHERE v IS NOT NULL""",
     "log_issues_organizer": f"""WITH f AS (SELECT *, [{_ISSUES}][id % {len(LINES)} + 1] AS issue FROM files WHERE orig_path IS NOT NULL),
-p AS (SELECT issue, CASE WHEN id % {len(LINES)} = 6 THEN 'video ' || orig_path WHEN id % {len(LINES)} IN ({', '.join(map(str, _SHORT))}) THEN split_part(orig_path, ':', 1) ELSE orig_path END AS path FROM f WHERE issue IS NOT NULL),
+-- a pattern takes a path of one character at least
+p AS (SELECT issue, CASE WHEN id % {len(LINES)} = 6 THEN 'video ' || orig_path WHEN id % {len(LINES)} IN ({', '.join(map(str, _SHORT))}) THEN split_part(orig_path, ':', 1) ELSE orig_path END AS path FROM f WHERE issue IS NOT NULL AND orig_path <> ''),
 c AS (SELECT issue, {{clean_p}} AS path FROM p),
 u AS (SELECT DISTINCT {{clean_o}} AS path FROM f WHERE type = 'other')
 SELECT path, CASE WHEN path IN (SELECT path FROM u) THEN 1 ELSE 0 END AS in_unknown_files, string_agg(DISTINCT issue, ';' ORDER BY issue) AS issues FROM c GROUP BY path""",
