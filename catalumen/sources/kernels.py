@@ -11,7 +11,6 @@ import mmap
 import os
 import re
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
 from typing import BinaryIO
@@ -19,6 +18,7 @@ from typing import BinaryIO
 import numpy as np
 
 from catalumen.functions.constants import EXIF_DATE_TAGS, SPARSE_BLOCK, SPARSE_FROM
+from catalumen.sources.pixels import luminance
 
 #: Fixed values of the TIFF tag registry.
 _TAGS = {0x0100: "width", 0x0101: "height", 0x0110: "Image Model", 0x0132: "Image DateTime", 0x8769: "exif", 0x9003: "EXIF DateTimeOriginal", 0x9004: "EXIF DateTimeDigitized", 0xA002: "exif_width", 0xA003: "exif_height", 0xA434: "EXIF LensModel"}
@@ -278,56 +278,24 @@ def embedded_names(path: str) -> list[str]:
     return out
 
 
-def _png_grey(path: str) -> np.ndarray | None:
-    """Luminance of an 8-bit PNG that isn't interlaced."""
-    with open(path, "rb") as f:
-        data = f.read()
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        return None
-    width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or interlace or channels is None:
-        return None
-    at, body = 8, []
-    while at + 8 <= len(data):
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        if kind == b"IDAT":
-            body.append(data[at + 8 : at + 8 + n])
-        at += 12 + n
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), dtype=np.int64)
-    above = np.zeros(width * channels, dtype=np.int64)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        if kind == 2:
-            line = (line + above) % 256
-        elif kind == 1:
-            line = np.cumsum(line.reshape(width, channels), axis=0).reshape(-1) % 256
-        elif kind:
-            for x in range(len(line)):
-                left = line[x - channels] if x >= channels else 0
-                if kind == 3:
-                    line[x] = (line[x] + (left + above[x]) // 2) % 256
-                else:
-                    corner = above[x - channels] if x >= channels else 0
-                    guess = left + above[x] - corner
-                    near = min((abs(guess - left), 0, left), (abs(guess - above[x]), 1, above[x]), (abs(guess - corner), 2, corner))
-                    line[x] = (line[x] + near[2]) % 256
-        out[y] = above = line
-    pixels = out.reshape(height, width, channels).astype(float)
-    return pixels[..., 0] if channels < 3 else pixels[..., :3] @ np.array([0.299, 0.587, 0.114])
+def _shares(n: int, parts: int) -> np.ndarray:
+    """(parts, n): the share that each of n cells has in each of so many equal parts of their length."""
+    edges = np.linspace(0, n, parts + 1)
+    cells = np.arange(n)
+    over = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
+    return np.maximum(over, 0) * (parts / n)
 
 
 def picture_hash(path: str) -> str | None:
     """16 hex digits: the signs of the 8 x 8 lowest cosine coefficients of a 32 x 32 reduction against their median.
 
-    For PNG only, as nothing here decodes other formats.
+    Of JPEG, PNG, GIF and TIFF; null where pixels can't read the file.
     """
-    grey = _png_grey(path)
+    grey = luminance(path)
     if grey is None:
         return None
-    rows, cols = (np.linspace(0, n, 33).astype(int) for n in grey.shape)
-    small = np.array([[grey[a : max(a + 1, b), c : max(c + 1, d)].mean() for c, d in zip(cols, cols[1:], strict=False)] for a, b in zip(rows, rows[1:], strict=False)])
+    rows, cols = (_shares(n, 32) for n in grey.shape)
+    small = rows @ grey @ cols.T
     k = np.arange(32)
     cosine = np.cos(np.pi * (2 * k[None, :] + 1) * np.arange(8)[:, None] / 64)
     low = cosine @ small @ cosine.T
