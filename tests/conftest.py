@@ -14,3 +14,26 @@ def spark(tmp_path_factory):
     session = build_session("tests", 4, **conf)
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def no_nested_loops(monkeypatch):
+    """No plan that is checkpointed or collected in any test joins by a nested loop or a product."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    found = []
+
+    def watch(name):
+        plain = getattr(DataFrame, name)
+
+        def run(self, *args, **named):
+            plan = self._jdf.queryExecution().executedPlan().toString()
+            if "NestedLoop" in plan or "CartesianProduct" in plan:
+                found.append(plan)
+            return plain(self, *args, **named)
+
+        monkeypatch.setattr(DataFrame, name, run)
+
+    watch("checkpoint"), watch("collect")
+    yield
+    assert not found, found[0]
