@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalumen.functions.paths import normal_stem, parent, stem, suffix
 from catalumen.functions.times import stamp
-from catalumen.runtime import cut, settled, skew_join, split_rank
+from catalumen.runtime import LEAST_HOT, cut, settled, skew_join, split_rank
 
 PRIMARY = ["raw", "video", "tiff"]
 
@@ -59,8 +59,10 @@ def number_names(wanted: DataFrame, taken: DataFrame | None = None, style: str =
         used = taken.select("folder", F.col("name").alias("want")).filter("folder is not null and want is not null").distinct().withColumn("family", family)
         every = every.unionByName(used.select("folder", "family", "want", F.lit(1).alias("old")))
     kinds = every.groupBy("folder", "family").agg(F.count(F.lit(1)).alias("n"), F.max("old").alias("met"), (F.min("want") == F.max("want")).alias("single"))
-    clashes = cut(kinds.filter("n > 1").select("folder", "family", (F.col("single") & (F.col("met") == 0)).alias("plain")))
-    marked = cut(skew_join(rows, clashes, ["folder", "family"], "left"))
+    clashes = cut(kinds.filter("n > 1").select("folder", "family", "n", (F.col("single") & (F.col("met") == 0)).alias("plain")))
+    most = clashes.agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
+    clashes = clashes.drop("n")
+    marked = cut(skew_join(rows, clashes, ["folder", "family"], "left", hot=[] if most <= LEAST_HOT else None))
     alone = marked.filter("plain is null").select("id", "folder", F.col("want").alias("name"))
     ranked = split_rank(marked.filter("plain").select("folder", "want", *order), ["folder", "want"], list(order))
     rank = F.col("rank")

@@ -8,9 +8,9 @@ import tempfile
 import uuid
 import zipfile
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows that a table may have to be broadcast as a whole after its count is known.
@@ -103,10 +103,14 @@ def cut(df: DataFrame) -> DataFrame:
 _COSTLY = re.compile(r"\b(Join|Aggregate|Window|MapInPandas|MapInArrow|FlatMap\w+|Generate|Sort|Distinct|Deduplicate|Repartition\w*|RebalancePartitions)\b")
 
 
+def bare(df: DataFrame) -> bool:
+    """Whether df only reads and projects rows."""
+    return _COSTLY.search(df._jdf.queryExecution().optimizedPlan().toString()) is None
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df itself where it only reads and projects rows, else its checkpoint: for plans that are read several times."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return cut(df) if _COSTLY.search(plan) else df
+    return df if bare(df) else cut(df)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -137,17 +141,36 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 #: A key is hot with more than this share of its side's rows: at most 1 / HOT keys are, whatever the data.
 HOT = 0.002
+#: Rows that any hot key has at least.
+LEAST_HOT = 1000
+
+
+def _sketch(on: list[str], share: float, name: str) -> Column:
+    """A mergeable sketch of fixed size of the keys' 64-bit hashes, which misses none above the share; null keys don't count."""
+    there = reduce(and_, (F.col(c).isNotNull() for c in on))
+    key = F.when(there, F.xxhash64(*on))
+    return F.call_function("approx_top_k", key, F.lit(int(1 / share)), F.lit(int(20 / share))).alias(name)
+
+
+def _hot(top: list | None, rows: int, share: float, least: int) -> list[int]:
+    return sorted(r["item"] for r in top or [] if r["item"] is not None and r["count"] > max(least, int(rows * share)))
 
 
-def hot_hashes(df: DataFrame, on: list[str], share: float = HOT, least: int = 1000) -> list[int]:
+def hot_hashes(df: DataFrame, on: list[str], share: float = HOT, least: int = LEAST_HOT) -> list[int]:
     """64-bit hashes of the keys that hold more than `share` of df's rows and more than `least`; null keys don't count.
 
-    One pass with a mergeable sketch of frequent items of fixed size, which misses no key above the share: nothing is
-    shuffled but the tasks' sketches.
+    One pass with a mergeable sketch of frequent items: nothing is shuffled but the tasks' sketches.
     """
-    sketch = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {int(1 / share)}, {int(20 / share)})")
-    told = df.na.drop("any", None, on).agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).head()
-    return sorted(r["item"] for r in told["top"] or [] if r["count"] > max(least, int(told["n"] * share)))
+    told = df.na.drop("any", None, on).agg(_sketch(on, share, "top"), F.count(F.lit(1)).alias("n")).head()
+    return _hot(told["top"], told["n"], share, least)
+
+
+def cut_hot(df: DataFrame, ons: list[list[str]], share: float = HOT, least: int = LEAST_HOT) -> tuple[DataFrame, list[list[int]]]:
+    """cut(), and hot_hashes() of each of several keys, found in the same pass."""
+    told = Observation()
+    out = cut(df.observe(told, F.count(F.lit(1)).alias("n"), *(_sketch(on, share, f"top{i}") for i, on in enumerate(ons))))
+    seen = told.get
+    return out, [_hot(seen[f"top{i}"], seen["n"], share, least) for i in range(len(ons))]
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT, hot: list[int] | None = None) -> DataFrame:
@@ -158,8 +181,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     inner, left or left_semi. hot: the hashes of the hot keys, where hot_hashes() gave them before.
     """
     if hot is None:
+        left, hot = (left, hot_hashes(left, on, share)) if bare(left) else _only(cut_hot(left, [on], share))
+    elif hot:
         left = settled(left)
-        hot = hot_hashes(left, on, share)
     there = left.na.drop("any", None, on)
     if not hot:
         out = there.join(right, on, how)
@@ -173,14 +197,23 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return out.unionByName(lost.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in added)))
 
 
-def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, rows: int = 2_000) -> DataFrame:
+def _only(told: tuple[DataFrame, list[list[int]]]) -> tuple[DataFrame, list[int]]:
+    return told[0], told[1][0]
+
+
+def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, rows: int = 2_000, hot: list[int] | None = None) -> DataFrame:
     """Inner join of two sides that both may have hot keys: every pair comes out once, no task gets a key as a whole.
 
     Keys with more than `rows` rows on a side that are hot there are cut into blocks by the hash of the side's id; each
-    block meets each block of the other side as a key of its own. All other keys are joined by shuffle.
+    block meets each block of the other side as a key of its own. All other keys are joined by shuffle. hot: the hashes
+    of the hot keys of either side, where they are known before.
     """
-    left, right = settled(left), settled(right)
-    hot = sorted({*hot_hashes(left, on, least=rows), *hot_hashes(right, on, least=rows)})
+    if hot is None:
+        left, one = (left, hot_hashes(left, on, least=rows)) if bare(left) else _only(cut_hot(left, [on], least=rows))
+        right, two = (right, hot_hashes(right, on, least=rows)) if bare(right) else _only(cut_hot(right, [on], least=rows))
+        hot = sorted({*one, *two})
+    elif hot:
+        left, right = settled(left), settled(right)
     a, b = left.na.drop("any", None, on), right.na.drop("any", None, on)
     if not hot:
         return a.join(b, on)
