@@ -17,7 +17,7 @@ MEDIA_TYPES = ["raw", "jpeg", "video", "psd", "tiff"]
 CAMERA_NAMES = [r"^img_\d+$", r"^dsc_\d+$", r"^dscf\d+$", r"^pxl_\d+$", r"^sam_\d+$", r"^_dsc\d+$", r"^cimg\d+$"]
 #: Tags with a capture date, in order of trust: fixed values.
 EXIF_DATE_TAGS = ["EXIF DateTimeOriginal", "EXIF DateTimeDigitized", "Image DateTime"]
-#: Bytes from which a file is fingerprinted sparsely, and bytes of each block of a sparse fingerprint.
+#: Bytes from which a file is fingerprinted sparsely, and bytes of each block of a sparse fingerprint: fixed values.
 SPARSE_FROM = 5 * 1024 * 1024
 SPARSE_BLOCK = 4096
 #: Confidence of a link by the way it was found: fixed values.

@@ -48,6 +48,7 @@ def date_from_path(path: Column) -> Column:
     Components are taken in order in each of the four passes; impossible dates are passed over. 1900 to 2099.
     """
     parts = F.split(path, "/")
+    # the shapes of dates in paths, here and below: fixed values
     year, month = r"^(19|20)\d{2}\z", r"^(0[1-9]|1[0-2])\z"
 
     def first(dates: Column) -> Column:

@@ -54,6 +54,12 @@ def sidecar_dest(spark: SparkSession, d: str) -> DataFrame:
     return plans.sidecar_destinations(sidecar_links(files), files.select("id", "dest_path"), files)
 
 
+def sidecar_dest_v1(spark: SparkSession, d: str) -> DataFrame:
+    """The same with clashes numbered."""
+    files = table(spark, d, "files")
+    return plans.sidecar_destinations(sidecar_links(files), files.select("id", "dest_path"), files, "v1")
+
+
 def psd_dest_v2(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files")
     return plans.psd_destinations(files.filter("type = 'psd'").select("id", "orig_name"), psd_links(files), files.select("id", "dest_path"))
@@ -70,7 +76,7 @@ def pending_moves(spark: SparkSession, d: str) -> DataFrame:
     return plans.pending_moves(table(spark, d, "files").select("id", "dest_path"), present)
 
 
-QUERIES = {f.__name__: f for f in (group_main_resized, resized_name, dest_names, dest_plan, dest_plan_v1, sidecar_dest, psd_dest_v2, psd_dest_v1, pending_moves)}
+QUERIES = {f.__name__: f for f in (group_main_resized, resized_name, dest_names, dest_plan, dest_plan_v1, sidecar_dest, sidecar_dest_v1, psd_dest_v2, psd_dest_v1, pending_moves)}
 
 _AT = "strftime(taken_at, '%Y-%m-%d_%H-%M-%S')"
 _STEM, _EXT = sql.stem("orig_name"), sql.suffix("orig_name")
@@ -116,4 +122,11 @@ SELECT id, folder || '/' || name AS dest_path FROM named"""
 
 
 SQL_LINKS = f"SELECT psd_file_id FROM ({linking.SQL['psd_stem_link_v2']})"
-SQL |= {"dest_plan": _plan("v2"), "dest_plan_v1": _plan("v1")}
+SQL |= {
+    "dest_plan": _plan("v2"),
+    "dest_plan_v1": _plan("v1"),
+    "sidecar_dest_v1": f"""WITH RECURSIVE one AS ({SQL['sidecar_dest']}),
+wants AS (SELECT sidecar_file_id AS id, {sql.parent('dest_path')} AS folder, {sql.name('dest_path')} AS want, 0 AS pass, '' AS kind, 0 AS first_id FROM one WHERE dest_path IS NOT NULL),
+taken AS (SELECT {sql.parent('dest_path')} AS folder, {sql.name('dest_path')} AS name FROM files WHERE dest_path IS NOT NULL AND id NOT IN (SELECT id FROM wants)), {sql.numbered()}
+SELECT id AS sidecar_file_id, folder || '/' || name AS dest_path FROM named""",
+}
