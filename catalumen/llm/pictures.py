@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.runtime import block_join, cut, parallelism, skew_join, table
+from catalumen.runtime import block_join, cut, cut_hot, hot_hashes, parallelism, skew_join, table
 
 #: Most differing bits, and the largest ratio of two shapes.
 BITS, SHAPE = 5, 1.02
@@ -216,8 +216,10 @@ def class_pairs(classes: DataFrame, bits: int = BITS, shape: float = SHAPE, bloc
     hashes = classes.select("h").distinct()
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     far = close_hashes(hashes, bits).unionByName(several.select(F.col("h").alias("ha"), F.col("h").alias("hb")))
-    left = block_join(far, classes.select(F.col("h").alias("ha"), F.col("r").alias("ra")), ["ha"], "hb", "ra", block)
-    both = block_join(left, classes.select(F.col("h").alias("hb"), F.col("r").alias("rb")), ["hb"], "ha", "rb", block)
+    far, (often_a, often_b) = cut_hot(far, [["ha"], ["hb"]], least=block)
+    shapes = hot_hashes(classes, ["h"], least=block)
+    left = block_join(far, classes.select(F.col("h").alias("ha"), F.col("r").alias("ra")), ["ha"], "hb", "ra", block, sorted({*often_a, *shapes}))
+    both = block_join(left, classes.select(F.col("h").alias("hb"), F.col("r").alias("rb")), ["hb"], "ha", "rb", block, sorted({*often_b, *shapes}))
     alike = F.greatest("ra", "rb") / F.least("ra", "rb") <= shape
     return both.filter(alike & ((F.col("ha") != F.col("hb")) | (F.col("ra") < F.col("rb")))).select("ha", "ra", "hb", "rb")
 
@@ -238,7 +240,8 @@ def same_pictures(media: DataFrame, bits: int = BITS, shape: float = SHAPE, salt
     rows = cut(rows.join(several, "file_id"))
     side = lambda x: rows.select(F.col("h").alias(f"h{x}"), F.col("r").alias(f"r{x}"), F.col("file_id").alias(f"f{x}"), F.col("several").alias(f"s{x}"))
     size = lambda x: classes.select(F.col("h").alias(f"h{x}"), F.col("r").alias(f"r{x}"), F.col("files").alias(f"n{x}"))
-    sized = cut(skew_join(skew_join(pairs, size("a"), ["ha", "ra"]), size("b"), ["hb", "rb"]))
+    pairs, (often_a, often_b) = cut_hot(pairs, [["ha", "ra"], ["hb", "rb"]])
+    sized = cut(skew_join(skew_join(pairs, size("a"), ["ha", "ra"], hot=often_a), size("b"), ["hb", "rb"], hot=often_b))
     small = F.col("na") * F.col("nb") <= CELL
     few = sized.filter(small).drop("na", "nb").join(side("a"), ["ha", "ra"]).join(side("b"), ["hb", "rb"])
     # of larger products each pair of blocks is a key of its own, which both sides are sent to
@@ -251,8 +254,9 @@ def same_pictures(media: DataFrame, bits: int = BITS, shape: float = SHAPE, salt
         placed = skew_join(there, size(x), [f"h{x}", f"r{x}"]).withColumn(block, F.pmod(F.xxhash64(f"f{x}", F.lit(5)), k(x)).cast("int")).drop(f"n{x}")
         return grid.join(placed, [f"h{x}", f"r{x}", block])
 
-    many = sent("a", "i").join(sent("b", "j"), ["ha", "ra", "hb", "rb", "i", "j"]).drop("i", "j")
-    met = few.unionByName(many)
+    met = few
+    if not sized.filter(~small).isEmpty():
+        met = few.unionByName(sent("a", "i").join(sent("b", "j"), ["ha", "ra", "hb", "rb", "i", "j"]).drop("i", "j"))
     told = met.filter("fa <> fb").select(F.least("fa", "fb").alias("file_id_a"), F.greatest("fa", "fb").alias("file_id_b"), "sa", "sb", (F.col("ha") == F.col("hb")).alias("e"), (F.col("ra") == F.col("rb")).alias("q"), F.col("fa").alias("first"))
     # within one class a pair comes out in both directions: one of them counts
     told = cut(told.filter("not (e and q) or first = file_id_a").select("file_id_a", "file_id_b", (F.col("sa") | F.col("sb")).alias("twice")))
