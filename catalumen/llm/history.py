@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from catalumen.functions.fingerprints import counts, full_hash, sparse_hash
 from catalumen.llm.chunks import chunk
-from catalumen.runtime import block_join, cut, remove, settled, shared_dir, shared_table, skew_join, spread, table
+from catalumen.runtime import block_join, cut, cut_hot, hot_hashes, remove, settled, shared_dir, shared_table, skew_join, spread, table
 
 #: Chunk sizes for fingerprints of 32 bytes: 8 bytes are 64 bits, so unequal fingerprints share no chunk by chance.
 FINGERPRINT = {"least": 8, "bits": 2, "most": 16}
@@ -126,28 +126,31 @@ class History:
         summed over all chunks, with the history's rows of the candidates only.
         """
         new = settled(rows.drop("batch"))
-        known = self._met(new, steps)
+        often_new = hot_hashes(new, ["chunk"])
+        known, often_known = self._met(new, steps)
         often = new.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).join(known.groupBy("chunk").agg(F.count(F.lit(1)).alias("m")), "chunk", "left")
         rare_first = Window.partitionBy("id").orderBy("m", "n", "chunk").rowsBetween(Window.unboundedPreceding, -1)
         needed = (
-            skew_join(new, often, ["chunk"])
+            skew_join(new, often, ["chunk"], hot=often_new)
             .withColumn("m", F.coalesce("m", F.lit(0)))
             .withColumn("before", F.coalesce(F.sum("bytes").over(rare_first), F.lit(0)))
             .filter(F.col("before") <= (1 - self.coverage) * F.col("total"))
             .filter("m > 0")
         )
         alike = F.least("total", "held") >= self.coverage * F.greatest("total", "held")
-        pairs = block_join(needed.select("chunk", "id", "total"), known.select("chunk", "known", "batch", "held"), ["chunk"], "id", "known").filter(alike).select("id", "known", "batch").distinct()
+        pairs = block_join(needed.select("chunk", "id", "total"), known.select("chunk", "known", "batch", "held"), ["chunk"], "id", "known", hot=sorted({*often_new, *often_known})).filter(alike).select("id", "known", "batch").distinct()
         ways = pairs.join(new.select("id", "chunk", "bytes", "total"), "id").join(known, ["known", "batch", "chunk"])
         met = ways.groupBy("id", "known", "batch", "total", "held").agg(F.sum(F.least("bytes", "has")).alias("shared"))
         return met.filter(F.col("shared") >= self.coverage * F.greatest("total", "held")).select("id", "known", "total", "shared", "batch")
 
-    def _met(self, new: DataFrame, steps: list[str] | None) -> DataFrame:
-        """(chunk, known, batch, has, held) of the history's rows whose chunk a new content has, from those chunks' parts."""
+    def _met(self, new: DataFrame, steps: list[str] | None) -> tuple[DataFrame, list[int]]:
+        """(chunk, known, batch, has, held) of the history's rows whose chunk a new content has, from those chunks' parts; and
+        its hot chunks."""
         wanted = cut(new.select("chunk").distinct())
         parts = sorted(r[0] for r in wanted.select(self.part(F.col("chunk")).alias("p")).distinct().collect())  # MOST_PARTS at most
         held = self.table(parts, steps).select("chunk", F.col("id").alias("known"), "batch", F.col("bytes").alias("has"), F.col("total").alias("held"))
-        return cut(held.join(wanted, "chunk", "left_semi"))
+        rows, (often,) = cut_hot(held.join(wanted, "chunk", "left_semi"), [["chunk"]])
+        return rows, often
 
     def absorb(self, rows: DataFrame, step: str | None = None) -> DataFrame:
         """Checks TABLE rows of new contents against the history, and adds those of contents that nothing covers.

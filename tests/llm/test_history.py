@@ -113,7 +113,7 @@ def test_a_small_batch_opens_few_parts(spark, tmp_path):
     assert len(parts) < 16 and 0 < read < 0.3 * h.table().count()
     found = h.absorb(batch)
     assert found.count() == 2 and len(h.steps()) == 2 and h.table(steps=h.steps()[1:]).select("id").distinct().count() == 1
-    scan = h._met(batch, None)
+    scan, _ = h._met(batch, None)
     assert scan.select("known").distinct().count() >= 2
 
 
