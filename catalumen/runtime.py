@@ -169,8 +169,11 @@ def cut_hot(df: DataFrame, ons: list[list[str]], share: float = HOT, least: int
     """cut(), and hot_hashes() of each of several keys, found in the same pass."""
     told = Observation()
     out = cut(df.observe(told, F.count(F.lit(1)).alias("n"), *(_sketch(on, share, f"top{i}") for i, on in enumerate(ons))))
-    seen = told.get
-    return out, [_hot(seen[f"top{i}"], seen["n"], share, least) for i in range(len(ons))]
+    for _ in range(100):  # metrics come a moment after the action; each look waits a tenth of a second at most
+        if told._jo.getRowOrEmpty().isDefined():
+            seen = told.get
+            return out, [_hot(seen[f"top{i}"], seen["n"], share, least) for i in range(len(ons))]
+    return out, [hot_hashes(out, on, share, least) for on in ons]  # a plan that lost its metrics
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT, hot: list[int] | None = None) -> DataFrame:

@@ -62,3 +62,18 @@ def test_ranks_of_a_hot_key(spark):
         want.setdefault(k, []).append(i)
     assert len(got) == 3000 and all(want[r.k][r.rank] == r.i for r in got)
     assert split_rank(df.limit(0), ["k"], ["i"]).count() == 0
+
+
+def test_hot_keys_in_the_pass_of_a_cut(spark, monkeypatch):
+    from catalumen import runtime
+
+    df = third(spark, 9000, "i").groupBy("k", "i").count()
+    want = hot_hashes(df, ["k"])
+    out, (hot, none) = runtime.cut_hot(df, [["k"], ["i"]])
+    assert hot == want and len(want) == 1 and none == [] and out.count() == 9000
+    for empty in (df.limit(0), spark.createDataFrame([], "k long"), df.filter("false").join(df, "k")):
+        out, (hot,) = runtime.cut_hot(empty, [["k"]])
+        assert hot == [] and out.count() == 0
+    # where a plan's metrics never come, a pass of its own finds the keys
+    monkeypatch.setattr(runtime, "range", lambda n: [], raising=False)
+    assert runtime.cut_hot(df, [["k"]])[1] == [want]
