@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.runtime import blank, bounded_broadcast, cut, table
+from catalumen.runtime import blank, bounded_broadcast, cut, small_methods, table
 
 #: 1990-01-01T00:00:00Z.
 EARLIEST = 631_152_000
@@ -160,7 +160,8 @@ def normalise(media: DataFrame, files: DataFrame, roots: DataFrame, text: str =
     rows = with_root(texts.join(paths, "file_id", "left"), "orig_path", roots)
     rows = candidates(rows, "text", zone_ids(spark)).withColumn("source", F.coalesce(F.col("root_id").cast("long"), F.lit(-1)))
     mask = sum((F.get("readings", k).isNotNull().cast("int") * (1 << k) for k in range(len(FORMATS))), F.lit(0))
-    rows = cut(rows.withColumn("mask", mask.cast("int")).drop("root_id", "root_zone"))
+    with small_methods(spark):
+        rows = cut(rows.withColumn("mask", mask.cast("int")).drop("root_id", "root_zone"))
     fitted = fit_mixtures(rows.filter("mask > 0").groupBy("source", "mask").agg(F.count(F.lit(1)).alias("n")), prior)
     # at most (roots + 1) * 2 ** len(FORMATS) rows: broadcast where the roots are few enough for that to be small
     allowed = F.array(*(F.lit(1.0 if f in formats else 0.0) for f in FORMATS))

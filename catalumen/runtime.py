@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_, or_
 
@@ -113,6 +115,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df if bare(df) else cut(df)
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans whose generated methods the JVM would only interpret, over 8,000 bytes of code, run as split ones.
+
+    For wide projections of many patterns; what runs within must be eager, as a cut is.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table of the shared folder."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -139,14 +156,17 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: A key is hot with more than this share of its side's rows: at most 1 / HOT keys are, whatever the data.
+#: A key is hot with more than this share of its side's rows: at most 2 / HOT keys are taken for hot, whatever the data.
 HOT = 0.002
 #: Rows that any hot key has at least.
 LEAST_HOT = 1000
 
 
 def _sketch(on: list[str], share: float, name: str) -> Column:
-    """A mergeable sketch of fixed size of the keys' 64-bit hashes, which misses none above the share; null keys don't count."""
+    """A mergeable sketch of fixed size of the keys' 64-bit hashes, which misses none above the share; null keys don't count.
+
+    4 / share counters (32 KB a task at most) err by less than half the share, so that at most 2 / share keys can seem hot.
+    """
     there = reduce(and_, (F.col(c).isNotNull() for c in on))
     key = F.when(there, F.xxhash64(*on))
     return F.call_function("approx_top_k", key, F.lit(int(1 / share)), F.lit(int(20 / share))).alias(name)
@@ -179,7 +199,7 @@ def cut_hot(df: DataFrame, ons: list[list[str]], share: float = HOT, least: int
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT, hot: list[int] | None = None) -> DataFrame:
     """Joins left with right, in which `on` is unique, without sending a hot key of left to one task.
 
-    Keys with more than `share` of left's rows are at most 1 / share: their rows of right are broadcast. All other keys
+    Keys with more than `share` of left's rows, 2 / share at most: their rows of right are broadcast. All other keys
     are joined by shuffle; rows with a null key, which match nothing, are neither shuffled nor compared. `how` is
     inner, left or left_semi. hot: the hashes of the hot keys, where hot_hashes() gave them before.
     """
@@ -225,7 +245,7 @@ def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.filter(is_hot).groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    grid = F.broadcast(cut(blocks(a, "_ka").join(blocks(b, "_kb"), on)))  # 2 / HOT rows at most
+    grid = F.broadcast(cut(blocks(a, "_ka").join(blocks(b, "_kb"), on)))  # 4 / HOT rows at most
 
     def cells(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         met = df.filter(is_hot).join(grid, on)
