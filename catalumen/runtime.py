@@ -169,7 +169,7 @@ def _sketch(on: list[str], share: float, name: str) -> Column:
     """
     there = reduce(and_, (F.col(c).isNotNull() for c in on))
     key = F.when(there, F.xxhash64(*on))
-    return F.call_function("approx_top_k", key, F.lit(int(1 / share)), F.lit(int(20 / share))).alias(name)
+    return F.call_function("approx_top_k", key, F.lit(int(2 / share)), F.lit(int(4 / share))).alias(name)
 
 
 def _hot(top: list | None, rows: int, share: float, least: int) -> list[int]:
