@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.functions.constants import CONFIDENCE
 from catalumen.functions.content import hamming, picture_value
 from catalumen.functions.paths import digit_core, file_name, normal_stem, parent, psd_stem, stem
-from catalumen.runtime import block_join
+from catalumen.runtime import block_join, settled
 
 OUTPUT_TYPES = ["jpeg", "psd", "video", "tiff"]
 
@@ -55,30 +57,35 @@ def sidecar_index(occurrences: DataFrame, files: DataFrame) -> DataFrame:
     return seen.groupBy("dir", "stem").agg(F.count_if(F.col("type") == "raw").alias("raws"), F.count_if(F.col("type") == "sidecar").alias("sidecars"))
 
 
-def _sides(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """captures: id, type, orig_name, capture_datetime, camera_model, phash, at (local seconds)."""
-    core = digit_core(stem(F.col("orig_name")))
-    rows = captures.withColumn("core", core)
-    raws = rows.filter("type = 'raw'").select(F.col("id").alias("raw_file_id"), "capture_datetime", "core", F.col("camera_model"), F.col("at").alias("raw_at"))
-    outs = rows.filter(F.col("type").isin(OUTPUT_TYPES)).select(F.col("id").alias("output_file_id"), "capture_datetime", "core", "camera_model", F.col("at").alias("output_at"), "phash")
-    return raws, outs
+def _timed(captures: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(raw_file_id, key, raw_at) and (output_file_id, key, output_at) of the files with a time, each once."""
+    rows = settled(captures.filter(F.col("type").isin("raw", *OUTPUT_TYPES) & F.col("at").isNotNull()).select("id", "type", key, "at"))
+
+    def side(kinds: list[str], name: str, at: str) -> DataFrame:
+        return rows.filter(F.col("type").isin(kinds)).select(F.col("id").alias(name), key, F.col("at").alias(at)).distinct()
+
+    return side(["raw"], "raw_file_id", "raw_at"), side(OUTPUT_TYPES, "output_file_id", "output_at")
 
 
 def _named(pairs: DataFrame, method: str) -> DataFrame:
-    return pairs.select("raw_file_id", "output_file_id").distinct().withColumn("link_method", F.lit(method)).withColumn("confidence", F.lit(CONFIDENCE[method]))
+    return pairs.select("raw_file_id", "output_file_id", F.lit(method).alias("link_method"), F.lit(CONFIDENCE[method]).alias("confidence"))
+
+
+# captures: id, type, orig_name, capture_datetime, camera_model, phash, at (local seconds). Rows of one id may differ in
+# type and name; time, camera and hash are its own, so that a band join of distinct sides gives every pair once.
 
 
 def by_name_and_time(captures: DataFrame) -> DataFrame:
     """Same capture text, and the same digits in the stem, at least one."""
-    raws, outs = _sides(captures)
-    raws, outs = (x.filter("capture_datetime <> '' and core <> ''") for x in (raws, outs))
-    return _named(raws.join(outs, ["capture_datetime", "core"]), "filename_time")
+    rows = captures.select("id", "type", "capture_datetime", digit_core(stem(F.col("orig_name"))).alias("core")).filter("capture_datetime <> '' and core <> ''")
+    raws = rows.filter("type = 'raw'").select(F.col("id").alias("raw_file_id"), "capture_datetime", "core")
+    outs = rows.filter(F.col("type").isin(OUTPUT_TYPES)).select(F.col("id").alias("output_file_id"), "capture_datetime", "core")
+    return _named(raws.join(outs, ["capture_datetime", "core"]).select("raw_file_id", "output_file_id").distinct(), "filename_time")
 
 
 def by_time_and_camera(captures: DataFrame, seconds: int = 2) -> DataFrame:
     """Same camera, and at most so many seconds apart."""
-    raws, outs = _sides(captures)
-    raws, outs = (x.filter("camera_model <> ''") for x in (raws, outs))
+    raws, outs = _timed(captures.filter("camera_model <> ''"), "camera_model")
     return _named(band_join(raws, outs, ["camera_model"], "raw_at", "output_at", seconds), "time_camera")
 
 
@@ -86,19 +93,27 @@ def by_picture(captures: DataFrame, raw_hashes: DataFrame | None = None, seconds
     """At most so many seconds apart, for outputs with a picture hash, of which at most `bits` bits differ from the raw
     file's (raw_hashes: raw_file_id, raw_phash). Without raw_hashes every such output counts as alike, which is how
     catalogues that keep no hash of raw files have been linked."""
-    raws, outs = _sides(captures)
-    pairs = band_join(raws, outs.filter("phash <> ''"), [], "raw_at", "output_at", seconds)
-    if raw_hashes is not None:
-        pairs = pairs.join(raw_hashes, "raw_file_id").filter(hamming(picture_value(F.col("raw_phash")), picture_value(F.col("phash"))) <= bits)
-    return _named(pairs, "phash")
+    raws, outs = _timed(captures.filter("type = 'raw' or phash <> ''"), "phash")
+    raws = raws.drop("phash")
+    if raw_hashes is None:
+        return _named(band_join(raws, outs.drop("phash"), [], "raw_at", "output_at", seconds), "phash")
+    raws = raws.join(raw_hashes.select("raw_file_id", picture_value(F.col("raw_phash")).alias("raw_value")).filter("raw_value is not null"), "raw_file_id")
+    outs = outs.select("output_file_id", "output_at", picture_value(F.col("phash")).alias("value")).filter("value is not null")
+    pairs = band_join(raws, outs, [], "raw_at", "output_at", seconds).filter(hamming(F.col("raw_value"), F.col("value")) <= bits)
+    return _named(pairs.select("raw_file_id", "output_file_id").distinct(), "phash")
 
 
 def merge_links(*links: DataFrame) -> DataFrame:
-    """One row per pair: the link of the highest confidence."""
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("raw_file_id", "output_file_id").agg(F.max(F.struct("confidence", "link_method")).alias("l")).select("raw_file_id", "output_file_id", "l.link_method", "l.confidence")
+    """One row per pair: the link of the highest confidence, the greatest method among equals.
+
+    Links go by their place in that order, as a number is aggregated without a sort.
+    """
+    order = sorted((c, m) for m, c in CONFIDENCE.items())
+    place = reduce(lambda known, i: known.when(F.col("link_method") == order[i][1], F.lit(i)), range(1, len(order)), F.when(F.col("link_method") == order[0][1], F.lit(0)))
+    every = reduce(DataFrame.unionByName, (x.select("raw_file_id", "output_file_id", place.alias("place")) for x in links))
+    best = every.groupBy("raw_file_id", "output_file_id").agg(F.max("place").alias("place"))
+    method, confidence = (F.get(F.array(*(F.lit(x[i]) for x in order)), F.col("place")) for i in (1, 0))
+    return best.select("raw_file_id", "output_file_id", method.alias("link_method"), confidence.alias("confidence"))
 
 
 def psd_links(files: DataFrame, references: DataFrame | None = None, dialect: str = "v2") -> DataFrame:

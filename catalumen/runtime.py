@@ -254,7 +254,7 @@ def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
 
     warm = cells(a, left_id, "a", "b").join(cells(b, right_id, "b", "a"), [*on, "_a", "_b"]).drop("_a", "_b")
     cold = a.filter(~is_hot).join(b.filter(~is_hot), on)
-    return cold.unionByName(warm)
+    return cold.union(warm)  # columns in one order; both sides may have others of the same name
 
 
 def split_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:

@@ -54,3 +54,23 @@ def test_nested_roots_are_found_by_path(spark, tmp_path):
     skipped = ["/r/in/a.jpg", "/r/in", "E:/x/y/a.jpg", "/none/b/a.jpg"]
     d = tables(spark, tmp_path, scan_roots=("root_id int, root_path string, time_zone string", roots), file_occurrences=("path string, file_id long", [(p, 1) for p in kept + skipped]))
     assert sorted(r.path for r in entry.queries()["skip_subtree"](spark, d).collect()) == sorted(kept)
+
+
+#: Queries over captures in which more outputs than a block has rows share one second.
+HOT_BANDS = ["link_priority_merge"]
+
+
+@pytest.mark.parametrize("name", HOT_BANDS)
+def test_links_of_a_clock_that_was_never_set(spark, tmp_path, name):
+    n, at = 2100, "2000:01:01 00:00:00"
+    kinds = ["raw" if i <= 3 else "jpeg" for i in range(1, n + 4)]
+    files = [(i, k, f"img_{i % 50}.x") for i, k in enumerate(kinds, 1)] + [(n + 10, "tiff", "a_1.tif"), (n + 11, "jpeg", "b.jpg")]
+    met = [(i, at, "Orvex Z30", None, 4, 3, f"{1 << i % 40:016x}") for i, _, _ in files[:-2]]
+    met += [(n + 10, "2000:01:01 00:00:30", "Orvex Z30", None, 4, 3, "0" * 16), (n + 11, "2000:01:01 00:00:31", "Orvex Z30", None, 4, 3, "0" * 16)]
+    d = tables(
+        spark, tmp_path,
+        files=("id long, type string, orig_name string", files),
+        media_metadata=("file_id long, capture_datetime string, camera_model string, lens_model string, width int, height int, phash string", met),
+        raw_outputs=("raw_file_id long, output_file_id long", [(1, 4), (1, 5), (2, n + 10)]),
+    )
+    compare(spark, d, entry.queries()[name], entry.oracle_sql()[name])

@@ -38,6 +38,13 @@ def test_block_join_gives_every_pair_once(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_block_join_of_sides_that_share_other_names(spark):
+    """A hot key's rows come out beside the others', where both sides have a column of one name besides the keys."""
+    a, b = (third(spark, 900, i).withColumn("name", F.lit(i)) for i in ("i", "j"))
+    got, want = block_join(a, b, ["k"], "i", "j", rows=100), a.join(b, "k")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_components_with_a_hub_and_a_long_chain(spark):
     hub = spark.range(1, 3000).select(F.lit(10_000).cast("long").alias("a"), (F.col("id") + 10_000).alias("b"))
     chain = spark.range(1, 500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
