@@ -47,7 +47,7 @@ def phash_band_link(spark: SparkSession, d: str) -> DataFrame:
 def phash_band_link_bits(spark: SparkSession, d: str) -> DataFrame:
     """Outputs that look like the raw file, at most 30 s apart: hashes differ in at most 5 bits. A raw file's hash is that of
     its catalogued output of the smallest id that has one."""
-    rows = captures(spark, d)
+    rows = cut(captures(spark, d).select("id", "type", "phash", "at"))
     outs = rows.select(F.col("id").alias("output_file_id"), "phash").filter(picture_value(F.col("phash")).isNotNull())
     met = table(spark, d, "raw_outputs").select("raw_file_id", "output_file_id").join(outs, "output_file_id")
     raw = met.groupBy("raw_file_id").agg(F.min_by("phash", "output_file_id").alias("raw_phash"))

@@ -57,7 +57,7 @@ def test_nested_roots_are_found_by_path(spark, tmp_path):
 
 
 #: Queries over captures in which more outputs than a block has rows share one second.
-HOT_BANDS = ["link_priority_merge", "phash_band_link"]
+HOT_BANDS = ["link_priority_merge", "phash_band_link", "phash_band_link_bits"]
 
 
 @pytest.mark.parametrize("name", HOT_BANDS)
