@@ -14,7 +14,7 @@ NEAR = 600
 #: Categorical and numeric features of the low-rank model. Models and lenses are encoded twice, independently.
 MODEL, LENS = ["model", "model2"], ["lens", "lens2"]
 CATEGORIES = [*MODEL, *LENS, "tree", "frame", "kind"]
-NUMBERS = ["aspect", "pixels", "duration"]
+NUMBERS = ["aspect", "pixels", "duration", "time"]
 #: Values that are scored, and held by a task, at once.
 VALUES = 20_000
 #: Leading components of a path that make its tree, a feature of far fewer values than folders.
@@ -58,23 +58,25 @@ def features(rows: DataFrame) -> DataFrame:
             "aspect": F.when(sized, F.col("width") / F.col("height")),
             "pixels": F.when(sized, F.log(F.col("width").cast("double") * F.col("height"))),
             "duration": F.when(F.col("duration_sec") >= 0, F.log1p("duration_sec")),
+            "time": F.col("seconds").cast("double"),
         }
     )
 
 
-def folder_choices(rows: DataFrame) -> DataFrame:
-    """(file_id, folder_path, seconds, choices, source): admissible models of each record that lacks one.
+def folder_choices(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(file_id, folder_path, seconds, keep..., models, source): admissible models of each record that lacks one.
 
     The folder's model where all its records agree (source folder); else, for records with an instant, the models of
     the folder's nearest records in time, at most NEAR seconds off (source time). Folders are reduced to their least
     and greatest model, and to one row per second, before any join; nearest records are looked for in the record's own
     and the next stretches of NEAR seconds, each of which holds at most NEAR rows of a folder.
     """
-    lacking = rows.filter("camera is null").select("file_id", "folder_path", "seconds").distinct()
+    asks = ["file_id", "folder_path", "seconds"]
+    lacking = rows.filter("camera is null").select(*asks, *(keep or [])).dropDuplicates(asks)
     donors = rows.filter("camera is not null")
     folders = donors.groupBy("folder_path").agg(F.min("camera").alias("low"), F.max("camera").alias("high"))
     met = cut(skew_join(lacking, folders, ["folder_path"]))
-    agreed = met.filter("low = high").select("file_id", "folder_path", "seconds", F.array("low").alias("models"), F.lit("folder").alias("source"))
+    agreed = met.filter("low = high").select(*lacking.columns, F.array("low").alias("models"), F.lit("folder").alias("source"))
 
     mixed = met.filter("low <> high and seconds is not null")
     stretch = F.floor(F.col("seconds") / NEAR)
@@ -90,15 +92,16 @@ def folder_choices(rows: DataFrame) -> DataFrame:
         .otherwise(F.array("before.low", "before.high", "after.low", "after.high"))
     )
     timed = sides.select("folder_path", "seconds", F.array_distinct(nearest).alias("models"))
-    near = skew_join(mixed.select("file_id", "folder_path", "seconds"), timed, ["folder_path", "seconds"]).withColumn("source", F.lit("time"))
+    near = skew_join(mixed.select(*lacking.columns), timed, ["folder_path", "seconds"]).withColumn("source", F.lit("time"))
     return agreed.unionByName(near.select(*agreed.columns))
 
 
-def shot_times(rows: DataFrame) -> DataFrame:
-    """(file_id, filled): the earliest instant of the same folder and stem, for records without an instant."""
+def shot_times(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(file_id, keep..., first): the admissible instant of records without one, the earliest of the same folder and stem."""
     shots = rows.filter("seconds is not null").groupBy("folder_path", "stem").agg(F.min("seconds").alias("first"))
-    lacking = rows.filter("seconds is null").select("file_id", "folder_path", "stem").distinct()
-    return skew_join(lacking, shots, ["folder_path", "stem"]).select("file_id", utc_text(F.col("first")).alias("filled"))
+    asks = ["file_id", "folder_path", "stem"]
+    lacking = rows.filter("seconds is null").select(*asks, *(keep or [])).dropDuplicates(asks)
+    return skew_join(lacking, shots, ["folder_path", "stem"]).select("file_id", *(keep or []), "first")
 
 
 def _options(models: str) -> Column:
@@ -131,35 +134,27 @@ def _cells(rows: DataFrame, field: str, value: str | Column, source: str | Colum
     return rows.select("file_id", F.lit(field).alias("field"), (F.col(value) if isinstance(value, str) else value).alias("filled"), given[0].alias("source"), given[1].alias("choices"))
 
 
-def forced(choices: DataFrame, rows: DataFrame) -> DataFrame:
-    """(file_id, field, filled, source, choices) of the cells that have exactly one admissible value: no model is asked."""
-    one = _cells(choices.filter(F.size("models") == 1), "camera_model", F.get("models", F.lit(0)), F.col("source"), 1)
-    return one.unionByName(_cells(shot_times(rows), "capture_datetime", "filled", "shot", 1))
-
-
 def fill(rows: DataFrame, whole: bool = False, lenses: bool = False) -> DataFrame:
     """(file_id, field, filled, source, choices) of all filled cells; choices counts the admissible values, 0 for all in use.
 
-    Cells with one admissible value have it. A low-rank model of all records' mixed cells decodes the others: among the
-    models of the nearest records where these disagree; with `whole`, cells without admissible values among all models in
-    use (source model), and missing sizes and durations are predicted. With `lenses`, missing lenses are decoded among all
-    lenses in use. rows: cells(), cut.
+    A low-rank model of all records' mixed cells decodes every missing model among those that its folder admits, and
+    every missing instant among those that its shot admits; where one value is admissible, the model is bound to it.
+    With `whole`, cells without admissible values are decoded among all models in use (source model), and missing sizes
+    and durations are predicted. With `lenses`, missing lenses are decoded among all lenses in use. rows: cells(), cut.
     """
     have = cut(features(spread(rows)))  # every round reads it
-    choices = cut(folder_choices(have))
-    out = forced(choices, have)
-    open_ = choices.filter(F.size("models") > 1)
-    if not whole and not lenses and open_.isEmpty():
-        return out
-    model = LowRank(CATEGORIES, NUMBERS).fit(have)
     encoded = [*CATEGORIES, *NUMBERS]
-    inputs = ["file_id", "folder_path", "seconds"]
-    lacking = have.filter("camera is null").dropDuplicates(inputs)
-    same = lambda other: [lacking[c].eqNullSafe(other[c]) for c in inputs]
-    asked = lacking.join(open_, same(open_)).select(lacking["file_id"], *(lacking[c] for c in encoded), "source", _options("models").alias("choices"))
-    out = out.unionByName(_cells(model.decode(asked, "model", ["file_id", "source"]), "camera_model", "value", F.col("source"), F.col("choices")))
+    choices = cut(folder_choices(have, encoded))
+    model = LowRank(CATEGORIES, NUMBERS).fit(have)
+    asked = choices.select("file_id", *encoded, "source", _options("models").alias("choices"))
+    out = _cells(model.decode(asked, "model", ["file_id", "source"]), "camera_model", "value", F.col("source"), F.col("choices"))
+    first = F.struct(utc_text(F.col("first")).alias("value"), F.col("first").cast("double").alias("number"))
+    shots = shot_times(have, encoded).select("file_id", *encoded, F.array(first).alias("choices"))
+    out = out.unionByName(_cells(model.decode(shots, "time", ["file_id"]), "capture_datetime", "value", "shot", F.col("choices")))
     if whole:
-        rest = lacking.join(choices, same(choices), "left_anti").select("file_id", *encoded).distinct()
+        inputs = ["file_id", "folder_path", "seconds"]
+        lacking = have.filter("camera is null").dropDuplicates(inputs)
+        rest = lacking.join(choices, [lacking[c].eqNullSafe(choices[c]) for c in inputs], "left_anti").select("file_id", *encoded).distinct()
         out = out.unionByName(_cells(decode_in_use(model, rest, have, "camera", MODEL, ["file_id"]), "camera_model", "value", "model", 0))
     if lenses:
         bare = have.filter("lens is null").select("file_id", *encoded).distinct()
@@ -195,13 +190,12 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filled cells with one admissible value. These follow from rules, so that no model is fitted for them.
+    """Missing cells as the low-rank model decodes them among their admissible values, where there is one such value.
 
     Nulls in any column are unknown cells; records without a usable path take no part; repeated records count once;
     ties in time must agree; empty tables give no rows; other columns are ignored.
     """
-    rows = _rows(spark, sf_dir)
-    return forced(folder_choices(rows), rows).select("file_id", "field", "filled").distinct()
+    return fill(_rows(spark, sf_dir)).filter("choices = 1").select("file_id", "field", "filled").distinct()
 
 
 def p6_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,13 +132,16 @@ class LowRank:
             self.factors, self.used = new, used
         return self
 
-    def decode(self, cells: DataFrame, category: str, keep: list[str]) -> DataFrame:
-        """keep..., value, score and choices of each cell: of its admissible values (column choices, array of
-        struct<value, bucket>) the one with the highest predicted cell, the smallest value among equals.
+    def decode(self, cells: DataFrame, feature: str, keep: list[str]) -> DataFrame:
+        """keep..., value, score and choices of each cell: of its admissible values (column choices) the one with the
+        highest score, the smallest value among equals.
 
-        A cell without admissible values gives null.
+        Choices of a category are struct<value, bucket>, and its predicted cell is the score; those of a number are
+        struct<value, number>, and the score falls with the distance from the predicted number. A cell without
+        admissible values gives null.
         """
-        k = self.categories.index(category)
+        category = feature in self.categories
+        k = (self.categories if category else self.numbers).index(feature)
 
         def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -146,8 +149,13 @@ class LowRank:
                 count = np.array([len(o) for o in b["choices"]], dtype=np.int64)
                 row = np.repeat(np.arange(n), count)
                 value = np.array([o["value"] for options in b["choices"] for o in options], dtype=object)
-                at = np.array([o["bucket"] for options in b["choices"] for o in options], dtype=np.int64)
-                score = np.einsum("ij,ij->i", u[row], self.factors[k * BUCKETS + at]) if len(row) else np.empty(0)
+                if category:
+                    at = np.array([o["bucket"] for options in b["choices"] for o in options], dtype=np.int64)
+                    score = np.einsum("ij,ij->i", u[row], self.factors[k * BUCKETS + at]) if len(row) else np.empty(0)
+                else:
+                    number = np.array([o["number"] for options in b["choices"] for o in options], dtype=float)
+                    told = u @ self.factors[len(self.categories) * BUCKETS + k]
+                    score = -np.abs((number - self.centre[k]) / self.scale[k] - told[row])
                 _, rank = np.unique(value.astype(str), return_inverse=True)
                 order = np.lexsort((rank, -score, row))
                 best = order[np.searchsorted(row[order], np.flatnonzero(count))]

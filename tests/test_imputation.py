@@ -143,3 +143,33 @@ def test_held_out_models_come_back(spark):
     rows = imp.cut(imp.cells(spark.createDataFrame(media, MEDIA), spark.createDataFrame(files, FILES), spark.createDataFrame([], ROOTS)))
     got = {r.source: r for r in imp.held_out(rows).collect()}
     assert set(got) == {"model", "model alone"} and got["model"].cells > 20 and got["model"].accuracy > 0.95
+
+
+def test_found_cells_come_out_of_the_model(spark, tmp_path, monkeypatch):
+    """Both fields of p6_found are decoded by a model that was fitted on all records."""
+    media = [(1, "1400000000", "Cam 1", "50mm", 100, 50, None, None, None), (2, None, None, "50mm", 100, 50, None, None, None), (3, None, "Cam 2", None, None, None, None, None, None)]
+    for name, shape, data in (("media_metadata", MEDIA, media), ("files", FILES, [(1, "/a/x.jpg"), (2, "/a/x.dng"), (3, "/b/y.jpg")]), ("scan_roots", ROOTS, [])):
+        spark.createDataFrame(data, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    fitted, asked, fit, decode = [], {}, lowrank.LowRank.fit, lowrank.LowRank.decode
+    monkeypatch.setattr(lowrank.LowRank, "fit", lambda self, records: fitted.append(records.count()) or fit(self, records))
+
+    def seen(self, cells, feature, keep):
+        asked[feature] = {r.file_id for r in cells.collect()}
+        return decode(self, cells, feature, keep)
+
+    monkeypatch.setattr(lowrank.LowRank, "decode", seen)
+    got = {tuple(r) for r in imp.p6_found(spark, str(tmp_path)).collect()}
+    assert got == {(2, "camera_model", "cam 1"), (2, "capture_datetime", "2014-05-13T16:53:20Z")}
+    assert fitted == [3] and asked == {"model": {2}, "time": {2}}
+
+
+def test_numbers_are_decoded_among_their_choices(spark):
+    """Of six admissible numbers the model takes the one nearest to its prediction, whether it is asked for one or all."""
+    rows = [(i, i % 6, (i % 6 + 1) * 7 % 20, None if i % 5 == 0 else i % 6 * 1e6) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, x double")
+    model = lowrank.LowRank(["a", "b"], ["x"], rounds=2).fit(df)
+    cells = df.filter("x is null").withColumn("choices", F.array(*(F.struct(F.lit(str(k)).alias("value"), F.lit(k * 1e6).alias("number")) for k in range(6))))
+    told = {r.id: r.value for r in model.predict(cells, "x", ["id"]).collect()}
+    got = {r.id: (int(r.value), r.choices) for r in model.decode(cells, "x", ["id"]).collect()}
+    assert got == {i: (min(range(6), key=lambda k: abs(k * 1e6 - v)), 6) for i, v in told.items()} and len(got) == 60
+    assert len({v for v, _ in got.values()}) > 1
