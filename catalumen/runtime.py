@@ -160,6 +160,8 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT = 0.002
 #: Rows that any hot key has at least.
 LEAST_HOT = 1000
+#: Tasks at most for the meeting blocks of hot keys, of which each has one if they are fewer.
+CELL_TASKS = 10_000
 
 
 def _sketch(on: list[str], share: float, name: str) -> Column:
@@ -245,12 +247,15 @@ def block_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.filter(is_hot).groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    grid = F.broadcast(cut(blocks(a, "_ka").join(blocks(b, "_kb"), on)))  # 4 / HOT rows at most
+    grid = cut(blocks(a, "_ka").join(blocks(b, "_kb"), on))  # 4 / HOT rows at most
+    met = grid.agg(F.sum(F.col("_ka").cast("long") * F.col("_kb"))).head()[0] or 1
+    tasks, grid = min(met, CELL_TASKS), F.broadcast(grid)
 
     def cells(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         met = df.filter(is_hot).join(grid, on)
         mine = F.pmod(F.xxhash64(key, F.lit(7)), F.col("_k" + own)).cast("int").alias("_" + own)
-        return met.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.col("_k" + other) - 1)).alias("_" + other))
+        cut_up = met.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.col("_k" + other) - 1)).alias("_" + other))
+        return cut_up.repartition(tasks, *on, "_a", "_b")  # a fixed number: by their few bytes all cells would go to one task
 
     warm = cells(a, left_id, "a", "b").join(cells(b, right_id, "b", "a"), [*on, "_a", "_b"]).drop("_a", "_b")
     cold = a.filter(~is_hot).join(b.filter(~is_hot), on)

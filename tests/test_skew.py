@@ -45,6 +45,13 @@ def test_block_join_of_sides_that_share_other_names(spark):
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_blocks_of_a_hot_key_meet_in_several_tasks(spark):
+    """However few bytes the blocks are, their pairs come from many tasks."""
+    a, b = third(spark, 3000, "i"), third(spark, 2400, "j")
+    got = block_join(a, b, ["k"], "i", "j", rows=100).filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in got) == 1001 * 801 and max(r["count"] for r in got) < 80_000
+
+
 def test_components_with_a_hub_and_a_long_chain(spark):
     hub = spark.range(1, 3000).select(F.lit(10_000).cast("long").alias("a"), (F.col("id") + 10_000).alias("b"))
     chain = spark.range(1, 500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
