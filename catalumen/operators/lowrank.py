@@ -16,6 +16,8 @@ ROUNDS = 6
 #: Weight of the cells of a known categorical feature's other values (0), against 1 for the value that is there.
 OTHERS = 0.1
 RIDGE = 0.1
+#: Records of a task of a round, about.
+TASK = 100_000
 #: Predicted cells of one matrix product.
 SCORES = 4_000_000
 
@@ -58,73 +60,96 @@ class LowRank:
         return cats, nums
 
     def solve(self, b: pd.DataFrame) -> np.ndarray:
-        """Factors of records, one row each; a record without known cells has zeros."""
+        """Factors of records, one row each; a record without known cells has zeros.
+
+        Records that know the same columns share a base, inverted once; a record's own categories change it by one rank
+        each, so that only a system of that many unknowns is solved by record (Woodbury's identity).
+        """
         cats, nums = self._cells(b)
-        r, n = self.rank, len(b)
-        left = np.broadcast_to(np.eye(r) * RIDGE, (n, r, r)).copy()
-        right = np.zeros((n, r))
+        n, n_cats = len(b), len(cats)
+        category, number = np.full((n, n_cats), -1), np.full((n, len(nums)), np.nan)
         for k, (at, f) in enumerate(cats):
-            own = slice(k * BUCKETS, (k + 1) * BUCKETS)
-            v = self.factors[own][self.used[own]]
-            x = self.factors[f]
-            left[at] += OTHERS * (v.T @ v) + (1 - OTHERS) * x[:, :, None] * x[:, None, :]
-            right[at] += x
+            category[at, k] = f
         for k, (at, value) in enumerate(nums):
-            x = self.factors[len(self.categories) * BUCKETS + k]
-            left[at] += np.outer(x, x)
-            right[at] += value[:, None] * x
-        return np.linalg.solve(left, right[:, :, None])[:, :, 0]
+            number[at, k] = value
+        values = [self.factors[k * BUCKETS : (k + 1) * BUCKETS][self.used[k * BUCKETS : (k + 1) * BUCKETS]] for k in range(n_cats)]
+        alike = [v.T @ v for v in values]
+        known = np.concatenate([category >= 0, ~np.isnan(number)], axis=1)
+        patterns, which = np.unique(known @ (1 << np.arange(known.shape[1])), return_inverse=True)
+        out = np.empty((n, self.rank))
+        for p in range(len(patterns)):
+            at = np.flatnonzero(which == p)
+            has = np.flatnonzero(known[at[0]])
+            own, y = has[has < n_cats], self.factors[n_cats * BUCKETS + has[has >= n_cats] - n_cats]
+            base = np.linalg.inv(RIDGE * np.eye(self.rank) + OTHERS * sum(alike[k] for k in own) + y.T @ y)
+            x = self.factors[category[at[:, None], own]]  # records, own categories, rank
+            right = x.sum(1) + number[at[:, None], has[has >= n_cats] - n_cats] @ y
+            met = x @ base
+            small = met @ x.transpose(0, 2, 1) + np.eye(len(own)) / (1 - OTHERS)
+            weight = np.linalg.solve(small, met @ right[:, :, None])
+            out[at] = right @ base - (weight.transpose(0, 2, 1) @ met)[:, 0]
+        return out
 
     def fit(self, records: DataFrame) -> LowRank:
         """records: the category columns encoded by bucket(), the numeric ones as doubles; nulls are unknown cells."""
         records = records.select(*self.categories, *(F.col(c).cast("double") for c in self.numbers))
-        if self.numbers:
-            # infinities and NaN are unknown too
-            finite = [F.when(F.abs(F.col(c)) < 1e300, F.col(c)) for c in self.numbers]
-            m = records.agg(*(f(x) for x in finite for f in (F.avg, F.stddev_pop))).head()
-            self.centre = np.array([x or 0.0 for x in m[0::2]])
-            self.scale = np.array([x or 1.0 for x in m[1::2]])
+        # infinities and NaN are unknown too
+        finite = [F.when(F.abs(F.col(c)) < 1e300, F.col(c)) for c in self.numbers]
+        count, *m = records.agg(F.count(F.lit(1)), *(f(x) for x in finite for f in (F.avg, F.stddev_pop))).head()
+        self.centre = np.array([x or 0.0 for x in m[0::2]])
+        self.scale = np.array([x or 1.0 for x in m[1::2]])
+        # a task sends its sums of all features, however few its records are: less is shuffled by fewer tasks
+        records = records.coalesce(-(-count // TASK) or 1)
         r, tri = self.rank, np.triu_indices(self.rank)
-        names = [f"s{i}" for i in range(1 + r + len(tri[0]))]
-        n_cats = len(self.categories)
+        n_cats, width = len(self.categories), 1 + r + len(tri[0])
+        packed = "feature long, sums binary"
+
+        def pack(feature: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"feature": feature, "sums": [row.tobytes() for row in sums]})
+
+        def unpack(b: pd.DataFrame) -> np.ndarray:
+            return np.frombuffer(b"".join(b["sums"])).reshape(-1, width)
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((self.features, len(names)))
-            whole = np.zeros((n_cats, len(tri[0])))
+            """Of each feature: its records, the sum of their factors (weighted by a number's value) and of their squares."""
+            linear, square = np.zeros((self.features, 1 + r)), np.zeros((self.features, r, r))
             for b in batches:
                 u = self.solve(b)
-                outer = u[:, tri[0]] * u[:, tri[1]]
                 cats, nums = self._cells(b)
-                for k, (at, f) in enumerate(cats):
-                    whole[k] += outer[at].sum(0)
-                    each = np.concatenate([np.ones((len(at), 1)), u[at], outer[at]], axis=1)
-                    seen, inverse = np.unique(f, return_inverse=True)
-                    order = np.argsort(inverse, kind="stable")
-                    begin = np.searchsorted(inverse[order], np.arange(len(seen)))
+                for at, f in cats:
+                    order = np.argsort(f, kind="stable")
+                    own, by = f[order], u[at[order]]
+                    begin = np.flatnonzero(np.diff(own, prepend=-1))
                     if len(at):
-                        total[seen] += np.add.reduceat(each[order], begin)
-                for k, (at, value) in enumerate(nums):
-                    row = total[n_cats * BUCKETS + k]
-                    row[0] += len(at)
-                    row[1 : 1 + r] += value @ u[at]
-                    row[1 + r :] += outer[at].sum(0)
+                        linear[own[begin], 0] += np.diff(begin, append=len(own))
+                        linear[own[begin], 1:] += np.add.reduceat(by, begin)
+                    for value, part in zip(own[begin], np.split(by, begin[1:]), strict=False):
+                        square[value] += part.T @ part
+                for k, (at, value) in enumerate(nums, n_cats * BUCKETS):
+                    linear[k, 0] += len(at)
+                    linear[k, 1:] += value @ u[at]
+                    square[k] += u[at].T @ u[at]
+            live = np.flatnonzero(linear[:, 0])
+            yield pack(live, np.concatenate([linear[live], square[live][:, tri[0], tri[1]]], axis=1))
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((self.features, width))
+            for b in batches:
+                for f, row in zip(b["feature"], unpack(b), strict=True):
+                    total[f] += row
             live = np.flatnonzero(total[:, 0])
-            out = pd.DataFrame(total[live], columns=names)
-            out.insert(0, "feature", live)
-            rest = pd.DataFrame(np.concatenate([np.zeros((n_cats, 1 + r)), whole], axis=1), columns=names)
-            rest.insert(0, "feature", -1 - np.arange(n_cats))
-            yield pd.concat([out, rest])
+            yield pack(live, total[live])
 
         for _ in range(self.rounds):
-            told = records.mapInPandas(sums, "feature long, " + ", ".join(f"{c} double" for c in names)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # at most features + len(categories) rows
-            feature, s = told["feature"].to_numpy(), told[names].to_numpy()
+            told = records.mapInPandas(sums, packed).repartition("feature").mapInPandas(add, packed).toPandas()  # at most a row per feature
+            feature, s = told["feature"].to_numpy(), unpack(told)
             square = np.zeros((len(s), r, r))
             square[:, tri[0], tri[1]] = s[:, 1 + r :]
             square[:, tri[1], tri[0]] = s[:, 1 + r :]
-            others = {int(-1 - f): square[i] for i, f in enumerate(feature) if f < 0}
+            # a category's records are those of its values
+            others = [square[feature // BUCKETS == k].sum(0) for k in range(n_cats)]
             new, used = np.zeros_like(self.factors), np.zeros(self.features, dtype=bool)
-            for i in np.flatnonzero(feature >= 0):
-                f = int(feature[i])
+            for i, f in enumerate(feature):
                 k = f // BUCKETS
                 left = OTHERS * others[k] + (1 - OTHERS) * square[i] if k < n_cats else square[i]
                 new[f] = np.linalg.solve(left + RIDGE * np.eye(r), s[i, 1 : 1 + r])
@@ -146,14 +171,14 @@ class LowRank:
         def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 u, n = self.solve(b), len(b)
-                count = np.array([len(o) for o in b["choices"]], dtype=np.int64)
+                count = np.array([len(o) for o in b["_value"]], dtype=np.int64)
                 row = np.repeat(np.arange(n), count)
-                value = np.array([o["value"] for options in b["choices"] for o in options], dtype=object)
+                value = np.array([o for options in b["_value"] for o in options], dtype=object)
+                number = np.array([o for options in b["_number"] for o in options], dtype=float)
                 if category:
-                    at = np.array([o["bucket"] for options in b["choices"] for o in options], dtype=np.int64)
+                    at = number.astype(np.int64)
                     score = np.einsum("ij,ij->i", u[row], self.factors[k * BUCKETS + at]) if len(row) else np.empty(0)
                 else:
-                    number = np.array([o["number"] for options in b["choices"] for o in options], dtype=float)
                     told = u @ self.factors[len(self.categories) * BUCKETS + k]
                     score = -np.abs((number - self.centre[k]) / self.scale[k] - told[row])
                 _, rank = np.unique(value.astype(str), return_inverse=True)
@@ -164,7 +189,9 @@ class LowRank:
                 yield b[keep].assign(value=values, score=pd.array(np.where(count > 0, scores, None), dtype="Float64"), choices=count)
 
         fields = {f.name: f.dataType.simpleString() for f in cells.schema}
-        return cells.mapInPandas(pick, ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", value string, score double, choices int")
+        apart = {"_value": F.col("choices.value"), "_number": F.col("choices.bucket" if category else "choices.number")}  # structs are slow in pandas
+        asked = cells.select(*dict.fromkeys([*keep, *self.categories, *self.numbers]), *(c.alias(name) for name, c in apart.items()))
+        return asked.mapInPandas(pick, ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", value string, score double, choices int")
 
     def decode_among(self, cells: DataFrame, encodings: list[str], values: list[tuple], keep: list[str]) -> DataFrame:
         """keep..., value and score of each cell: of all `values` the one with the highest predicted cell.
